@@ -102,3 +102,10 @@ def joined(parts: list[tuple[Column, str]], empty: str | None, sep: str = "; ")
     """Texts whose condition holds, joined; `empty` when there is none."""
     text = F.concat_ws(sep, *[F.when(cond, F.lit(t)) for cond, t in parts])
     return text if empty is None else F.when(text == "", empty).otherwise(text)
+
+
+def tie_even(x: Column, digits: int) -> Column:
+    """Prepare a value for `%.<digits>f`: exact halves go to the even digit, as IEEE
+    printing does; Java's formatter alone would round them up."""
+    scaled = x * float(2 * 10**digits)
+    return F.when(F.pmod(scaled, F.lit(2.0)) == 1.0, F.bround(x, digits)).otherwise(x)

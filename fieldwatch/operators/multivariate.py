@@ -86,11 +86,13 @@ def multivariate_expanding(df: DataFrame, qc_flag: str | None = "qc_flag", limit
     return tl.done(rows).select(*df.columns, "multivariate_score", "multivariate_anomaly")
 
 
-def multivariate_trained(df: DataFrame, train: DataFrame) -> DataFrame:
+def multivariate_trained(df: DataFrame, train_flag: str = "is_train") -> DataFrame:
     """Scaler fitted on the training rows' changes, missing changes 0, flag above the 99th
-    percentile of the training rows' scores.  train: (station_id, timestamp)."""
-    keys = ["station_id", "timestamp"]
-    of_train = df.join(train.select(*keys), keys, "left_semi")
+    percentile of the training rows' scores.  train_flag: boolean column.
+
+    `df` is read three times; pass a stored table, or `session.cut` it first.
+    """
+    of_train = df.where(F.col(train_flag))
     scaler = fit_scaler(of_train.dropna(subset=list(CHANGES)), CHANGES)
 
     def score(rows):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SERVICE, Profile
+from fieldwatch.functions.text import tie_even
 from fieldwatch.timeline import Timeline, run_at_least
 
 KEYS = ("station_id", "timestamp")
@@ -170,9 +171,9 @@ def quality_control(
                 _text(
                     f"{c}_spike: step rate of %.2f/hr exceeded threshold of %.2f/hr "
                     "(delta=%.2f in %.1fh)",
-                    rate,
+                    tie_even(rate, 2),
                     lim[f"{c}_rate_max"],
-                    F.abs(F.col(c) - F.col(f"_p_{c}")),
+                    tie_even(F.abs(F.col(c) - F.col(f"_p_{c}")), 2),
                     F.col("_h"),
                 ),
             )

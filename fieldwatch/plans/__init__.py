@@ -2,7 +2,18 @@
 
 from importlib import import_module
 
-FAMILIES = ("q_qc", "q_tables", "q_cleaning", "q_structure", "q_profile")
+FAMILIES = (
+    "q_qc",
+    "q_tables",
+    "q_cleaning",
+    "q_structure",
+    "q_profile",
+    "q_hourly",
+    "q_physics",
+    "q_features",
+    "q_spatial",
+    "q_health",
+)
 
 
 def catalogs():

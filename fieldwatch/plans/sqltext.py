@@ -89,3 +89,40 @@ def service_ctes(src: str) -> list[str]:
 
 
 __all__ = ["DENSE", "RAW_ROWS", "SPARSE", "STATIONS", "W", "sql", "steps", "flat_runs", "service_qc", "service_ctes", "QC_COLUMNS"]
+
+
+def hourly_ctes(base: str, src: str, gated: bool = True, spikes: bool = True) -> list[str]:
+    """Hourly-profile checks; the result table is `hq`."""
+    gate = "h = 1 AND " if gated else ""
+    med = "list_sort([x FOR x IN [pt, temperature, nt] IF x IS NOT NULL])"
+    spike_text = "CASE WHEN t_spike THEN 'Temperature spike' END," if spikes else ""
+    spike_or = "t_spike OR" if spikes else ""
+    return [
+        base,
+        steps(src),
+        flat_runs("steps", "flat", 5, "0", None),
+        f"""hf AS (
+  SELECT *, coalesce(temperature < -40 OR temperature > 70, false) AS t_range,
+    coalesce(pressure < 300 OR pressure > 1250, false) AS p_range,
+    coalesce(humidity < 0 OR humidity > 100, false) AS h_range,
+    CASE WHEN {gate} true THEN temperature - pt END AS t_change,
+    CASE WHEN {gate} true THEN pressure - pp END AS p_change,
+    CASE WHEN {gate} true THEN humidity - ph END AS h_change,
+    lead(temperature) OVER w AS nt, lead(pressure) OVER w AS np, lead(humidity) OVER w AS nh,
+    date_diff('microsecond', "timestamp", lead("timestamp") OVER w) / 3.6e9 AS nexth,
+    coalesce(h > 1, false) AS gap_flag FROM flat {W})""",
+        f"""hs AS (
+  SELECT *, coalesce(abs(t_change) > 3.5, false) AS t_rate, coalesce(abs(p_change) > 2.7, false) AS p_rate,
+    coalesce(abs(h_change) > 20, false) AS h_rate,
+    CASE WHEN h = 1 AND nexth = 1 AND len({med}) > 0 THEN
+      ({med}[(len({med}) + 1) // 2] + {med}[len({med}) // 2 + 1]) / 2 END AS t_median FROM hf),
+hm AS (SELECT *, coalesce(abs(temperature - t_median) > 3.5, false) AS t_spike FROM hs)""",
+        f"""hq AS (
+  SELECT *, t_range OR p_range OR h_range OR t_rate OR p_rate OR h_rate OR {spike_or} t_flat OR p_flat OR h_flat OR gap_flag AS qc_flag,
+    concat_ws('; ', CASE WHEN t_range THEN 'Temperature range' END, CASE WHEN p_range THEN 'Pressure range' END,
+      CASE WHEN h_range THEN 'Humidity range' END, CASE WHEN t_rate THEN 'Temperature rate-of-change' END,
+      CASE WHEN p_rate THEN 'Pressure rate-of-change' END, CASE WHEN h_rate THEN 'Humidity rate-of-change' END,
+      {spike_text} CASE WHEN t_flat THEN 'Temperature flatline' END, CASE WHEN p_flat THEN 'Pressure flatline' END,
+      CASE WHEN h_flat THEN 'Humidity flatline' END, CASE WHEN gap_flag THEN 'Time gap' END) AS qc_reasons
+  FROM hm)""",
+    ]

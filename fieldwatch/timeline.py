@@ -189,6 +189,38 @@ class Timeline:
             df = df.withColumn(name, F.greatest(F.col(f"_c{k}"), F.col(f"_l{k}")))
         return df.drop(*[p + k for k in inputs for p in ("", "_l", "_c")])
 
+    def running_cusum(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        """Add station-wide one-sided cumulative sums s = max(0, s + x).
+
+        s is the running sum of x less its running minimum (at most 0); a block hands on its
+        total and its lowest partial sum, and the minimum over blocks needs the totals first.
+        """
+        inputs = {f"_u{i}": c for i, c in enumerate(columns.values())}
+        df = df.withColumns({k: F.coalesce(c, F.lit(0.0)) for k, c in inputs.items()})
+        df = df.withColumns({f"_s{k}": self.local(F.sum, F.col(k)) for k in inputs})
+        df = df.withColumns({f"_d{k}": self.local(F.min, F.col(f"_s{k}")) for k in inputs})
+        core = df.where("_core")
+        blocks = core.groupBy(F.col(self.station).alias("_cs"), F.col("_blk").alias("_cb")).agg(
+            *[F.sum(k).alias(f"_t{k}") for k in inputs], *[F.min(f"_s{k}").alias(f"_m{k}") for k in inputs]
+        )
+        prior = Window.partitionBy("_cs").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumns(
+            {f"_b{k}": F.coalesce(F.sum(f"_t{k}").over(prior), F.lit(0.0)) for k in inputs}
+        )
+        blocks = blocks.withColumns(
+            {f"_f{k}": F.min(F.col(f"_b{k}") + F.col(f"_m{k}")).over(prior) for k in inputs}
+        )
+        keep = [f"_{p}{k}" for k in inputs for p in "bf"]
+        out = core.join(
+            blocks.select("_cs", "_cb", *keep),
+            F.col(self.station).eqNullSafe(F.col("_cs")) & (F.col("_blk") == F.col("_cb")),
+        )
+        for name, k in zip(columns, inputs):
+            start = F.col(f"_b{k}")
+            low = F.least(F.lit(0.0), F.col(f"_f{k}"), start + F.col(f"_d{k}"))
+            out = out.withColumn(name, start + F.col(f"_s{k}") - low)
+        return out.drop("_cs", "_cb", *inputs, *[f"_{p}{k}" for k in inputs for p in "sd"], *keep)
+
     def done(self, df: DataFrame) -> DataFrame:
         return df.where("_core").drop(*_HELPERS)
 
