@@ -161,13 +161,13 @@ class Timeline:
             *[aggs[n][0].alias(n) for n in names]
         )
         handed = per_block.select(
-            F.col(self.station).alias("_cs"),
-            F.col("_blk").alias("_cb"),
+            F.col(self.station).alias("_key_st"),
+            F.col("_blk").alias("_key_blk"),
             *[aggs[n][1](F.col(n)).over(frame).alias(n) for n in names],
         )
         return core.join(
-            handed, F.col(self.station).eqNullSafe(F.col("_cs")) & (F.col("_blk") == F.col("_cb"))
-        ).drop("_cs", "_cb")
+            handed, F.col(self.station).eqNullSafe(F.col("_key_st")) & (F.col("_blk") == F.col("_key_blk"))
+        ).drop("_key_st", "_key_blk")
 
     def running_sum(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
         """Add station-wide running sums; `df` must stem from this timeline."""
@@ -200,10 +200,10 @@ class Timeline:
         df = df.withColumns({f"_s{k}": self.local(F.sum, F.col(k)) for k in inputs})
         df = df.withColumns({f"_d{k}": self.local(F.min, F.col(f"_s{k}")) for k in inputs})
         core = df.where("_core")
-        blocks = core.groupBy(F.col(self.station).alias("_cs"), F.col("_blk").alias("_cb")).agg(
+        blocks = core.groupBy(F.col(self.station).alias("_key_st"), F.col("_blk").alias("_key_blk")).agg(
             *[F.sum(k).alias(f"_t{k}") for k in inputs], *[F.min(f"_s{k}").alias(f"_m{k}") for k in inputs]
         )
-        prior = Window.partitionBy("_cs").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+        prior = Window.partitionBy("_key_st").orderBy("_key_blk").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.withColumns(
             {f"_b{k}": F.coalesce(F.sum(f"_t{k}").over(prior), F.lit(0.0)) for k in inputs}
         )
@@ -212,14 +212,14 @@ class Timeline:
         )
         keep = [f"_{p}{k}" for k in inputs for p in "bf"]
         out = core.join(
-            blocks.select("_cs", "_cb", *keep),
-            F.col(self.station).eqNullSafe(F.col("_cs")) & (F.col("_blk") == F.col("_cb")),
+            blocks.select("_key_st", "_key_blk", *keep),
+            F.col(self.station).eqNullSafe(F.col("_key_st")) & (F.col("_blk") == F.col("_key_blk")),
         )
         for name, k in zip(columns, inputs):
             start = F.col(f"_b{k}")
             low = F.least(F.lit(0.0), F.col(f"_f{k}"), start + F.col(f"_d{k}"))
             out = out.withColumn(name, start + F.col(f"_s{k}") - low)
-        return out.drop("_cs", "_cb", *inputs, *[f"_{p}{k}" for k in inputs for p in "sd"], *keep)
+        return out.drop("_key_st", "_key_blk", *inputs, *[f"_{p}{k}" for k in inputs for p in "sd"], *keep)
 
     def done(self, df: DataFrame) -> DataFrame:
         return df.where("_core").drop(*_HELPERS)
