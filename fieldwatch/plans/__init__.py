@@ -13,6 +13,7 @@ FAMILIES = (
     "q_features",
     "q_spatial",
     "q_health",
+    "q_fusion",
 )
 
 
