@@ -14,6 +14,7 @@ FAMILIES = (
     "q_spatial",
     "q_health",
     "q_fusion",
+    "q_alerts",
 )
 
 
