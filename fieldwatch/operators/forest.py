@@ -58,7 +58,8 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
             nodes.append((node, -1, 0.0, len(idx), True))
             continue
         f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
+        # Below the highest value even after rounding, so that neither side is empty.
+        cut = float(min(rng.uniform(low[f], high[f]), np.nextafter(high[f], low[f])))
         nodes.append((node, f, cut, len(idx), False))
         left = part[:, f] <= cut
         todo.append((2 * node + 1, depth + 1, idx[left]))

@@ -52,7 +52,7 @@ def parameter_suspect_flags(df: DataFrame, reasons: str = "qc_reasons") -> DataF
     return df.withColumns(out)
 
 
-def _long(df: DataFrame) -> DataFrame:
+def series_rows(df: DataFrame) -> DataFrame:
     """One row per (observation, channel); needs the suspect flags and `missing_flag`."""
     each = F.explode(
         F.array(
@@ -177,7 +177,7 @@ def parameter_health(df: DataFrame) -> DataFrame:
 
     The long rows feed three passes, so they are stored once first.
     """
-    long = cut(_long(parameter_suspect_flags(df)), "health_rows")
+    long = cut(series_rows(parameter_suspect_flags(df)), "health_rows")
     steps = step_metrics(long).select(
         F.col("series").alias("_s"), F.col("timestamp").alias("_t"), "noise_variance", "cusum_drift"
     )
@@ -188,6 +188,11 @@ def parameter_health(df: DataFrame) -> DataFrame:
         .drop("_s", "_t", "seen")
         .fillna(0.0, ["noise_variance", "cusum_drift"])
     )
+    return with_health_index(rows)
+
+
+def with_health_index(rows: DataFrame) -> DataFrame:
+    """Index and status from the running metrics.  Shared by the batch and stream jobs."""
     flat, drift = F.col("consecutive_flatlines"), F.col("cusum_drift")
     penalty = (
         F.col("error_rate_24h") * 40.0

@@ -128,26 +128,27 @@ def quality_control(
     `<channel>_min/_max/_rate_max`); a missing row or value falls back to the profile.
     """
     reach = profile.flatline_rows - 1
-    tl = Timeline(
-        df.select(*KEYS, *CHANNELS), lookback=reach, lookahead=reach
-    )
+    tl = Timeline(df.select(*KEYS, *CHANNELS), lookback=reach, lookahead=reach)
     out = tl.df.withColumns({"_h": tl.hours(), **{f"_p_{c}": tl.lag(c) for c in CHANNELS}})
-    out = run_at_least(tl, out, _steady_runs(profile), profile.flatline_rows)
-    out = tl.done(out)
+    out = tl.done(run_at_least(tl, out, _steady_runs(profile), profile.flatline_rows))
     if thresholds is not None:
         renamed = thresholds.select(
             F.col("station_id").alias("_t_station"),
             *[F.col(c).alias(f"_t_{c}") for c in thresholds.columns if c != "station_id"],
         )
         out = out.join(renamed, F.col("station_id") == F.col("_t_station"), "left")
-    lim = _limits(profile, thresholds)
+    return qc_result(out, profile, _limits(profile, thresholds))
+
 
+def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column] | None = None) -> DataFrame:
+    """The result columns, for rows that carry the hours since the previous row (`_h`), its
+    values (`_p_<channel>`) and the flatline flags.  Shared by the batch and stream jobs."""
+    lim = lim or _limits(profile, None)
     gap = F.coalesce(F.col("_h") > profile.nominal_hours, F.lit(False))
     cols = {
         "missing_flag": F.col("temperature").isNull()
         | F.col("pressure").isNull()
         | F.col("humidity").isNull(),
-        "gap_flag": gap,
     }
     texts = [F.when(F.col(c).isNull(), F.lit(f"{c}_missing")) for c in CHANNELS]
     texts.append(

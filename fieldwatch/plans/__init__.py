@@ -15,6 +15,7 @@ FAMILIES = (
     "q_health",
     "q_fusion",
     "q_alerts",
+    "q_models",
 )
 
 

@@ -78,7 +78,7 @@ hh AS (
 
 
 def long_of(spark, d):
-    return health._long(health.parameter_suspect_flags(qc_holed(spark, d)))
+    return health.series_rows(health.parameter_suspect_flags(qc_holed(spark, d)))
 
 
 @cat.query(
