@@ -168,9 +168,6 @@ def upsert_observation_log(spark, d):
     return stored.select("id", "alert_key", "severity", "observed_value", "created_at")
 
 
-NOW = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-
-
 @cat.query(
     with_sql(
         body="""SELECT id, station_id, "timestamp", severity FROM base WHERE classification = 'UNCERTAIN' AND severity = 'HIGH'
@@ -185,7 +182,7 @@ def alert_filter(spark, d):
         station_id="ST-1",
         parameter="Pressure",
         time_range="7D",
-        now=NOW,
+        now=F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"),
     )
     return out.select("id", "station_id", "timestamp", "severity")
 

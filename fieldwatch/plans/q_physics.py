@@ -9,7 +9,11 @@ from fieldwatch.plans.sqltext import DENSE, SPARSE, sql
 
 cat = Catalog()
 KEYS = ["station_id", "timestamp"]
-T, P, RH = F.col("temperature"), F.col("pressure"), F.col("humidity")
+
+
+def channels():
+    return F.col("temperature"), F.col("pressure"), F.col("humidity")
+
 
 MOIST = """moist AS (
   SELECT *, CASE WHEN temperature >= 0 THEN 6.112 * exp(17.67 * temperature / (temperature + 243.5))
@@ -22,26 +26,30 @@ dew AS (
 
 @cat.query(sql(DENSE, MOIST.format("dense"), body='SELECT station_id, "timestamp", round(es, 6) AS es FROM moist'))
 def saturation_vapor_pressure(spark, d):
-    return dense(spark, d).select(*KEYS, F.round(physics.saturation_vapor_pressure(T), 6).alias("es"))
+    t, p, rh = channels()
+    return dense(spark, d).select(*KEYS, F.round(physics.saturation_vapor_pressure(t), 6).alias("es"))
 
 
 @cat.query(
     sql(DENSE, MOIST.format("dense"), body='SELECT station_id, "timestamp", round(es * (humidity / 100), 6) AS e FROM moist')
 )
 def actual_vapor_pressure(spark, d):
-    return dense(spark, d).select(*KEYS, F.round(physics.actual_vapor_pressure(T, RH), 6).alias("e"))
+    t, p, rh = channels()
+    return dense(spark, d).select(*KEYS, F.round(physics.actual_vapor_pressure(t, rh), 6).alias("e"))
 
 
 @cat.query(sql(SPARSE, MOIST.format("sparse"), body='SELECT station_id, "timestamp", round(td, 6) + 0 AS dew_point FROM dew'))
 def dew_point(spark, d):
-    return clean_sparse(spark, d).select(*KEYS, F.round(physics.dew_point(T, RH), 6).alias("dew_point"))
+    t, p, rh = channels()
+    return clean_sparse(spark, d).select(*KEYS, F.round(physics.dew_point(t, rh), 6).alias("dew_point"))
 
 
 @cat.query(
     sql(SPARSE, MOIST.format("sparse"), body='SELECT station_id, "timestamp", round(temperature - td, 6) + 0 AS spread FROM dew')
 )
 def dew_point_spread(spark, d):
-    return clean_sparse(spark, d).select(*KEYS, F.round(physics.dew_point_spread(T, RH), 6).alias("spread"))
+    t, p, rh = channels()
+    return clean_sparse(spark, d).select(*KEYS, F.round(physics.dew_point_spread(t, rh), 6).alias("spread"))
 
 
 @cat.query(
@@ -63,13 +71,14 @@ FROM dew""",
     )
 )
 def thermo_consistency(spark, d):
-    td = physics.dew_point(T, RH)
-    score = physics.thermo_score(T, P, RH, td)
-    known = T.isNotNull() & RH.isNotNull()
-    text = F.when(known, F.concat_ws("; ", physics.thermo_violations(T, P, RH, td))).otherwise("")
+    t, p, rh = channels()
+    td = physics.dew_point(t, rh)
+    score = physics.thermo_score(t, p, rh, td)
+    known = t.isNotNull() & rh.isNotNull()
+    text = F.when(known, F.concat_ws("; ", physics.thermo_violations(t, p, rh, td))).otherwise("")
     return clean_sparse(spark, d).select(
         *KEYS,
-        physics.thermo_status(T, RH, score).alias("status"),
+        physics.thermo_status(t, rh, score).alias("status"),
         score.alias("score"),
         text.alias("violations"),
     )
@@ -86,5 +95,6 @@ FROM dew""",
 )
 def dew_validity_label(spark, d):
     """A dew point shifted by the pressure stands in for a drifting humidity sensor."""
-    td = physics.dew_point(T, RH) - 5 + F.coalesce(P - 910, F.lit(0.0)) / 10
-    return clean_sparse(spark, d).select(*KEYS, physics.dew_validity(T, td).alias("label"))
+    t, p, rh = channels()
+    td = physics.dew_point(t, rh) - 5 + F.coalesce(p - 910, F.lit(0.0)) / 10
+    return clean_sparse(spark, d).select(*KEYS, physics.dew_validity(t, td).alias("label"))
