@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldwatch.functions.text import compact_texts
+
 # Magnus coefficients over water (T >= 0) and over ice (T < 0).
 E0 = 6.112
 WATER = (17.67, 243.5)
@@ -45,39 +47,37 @@ def dew_validity(t: Column, td: Column) -> Column:
 
 def thermo_violations(t: Column, p: Column, rh: Column, td: Column) -> Column:
     """Ordered texts of the physical laws an observation breaks."""
-    return F.array_compact(
-        F.array(
-            F.when(
-                rh > 105.0,
-                F.format_string(
-                    "Physical impossibility: Relative humidity (%.1f%%) exceeds saturation limit (105%%)",
-                    rh,
-                ),
-            ).when(
-                rh < 0.0,
-                F.format_string("Physical impossibility: Negative relative humidity (%.1f%%)", rh),
+    return compact_texts(
+        F.when(
+            rh > 105.0,
+            F.format_string(
+                "Physical impossibility: Relative humidity (%.1f%%) exceeds saturation limit (105%%)",
+                rh,
             ),
-            F.when(
-                t - td < -0.5,
-                F.format_string(
-                    "Thermodynamic violation: Dew point (%.1f°C) exceeds ambient temperature (%.1f°C)",
-                    td,
-                    t,
-                ),
+        ).when(
+            rh < 0.0,
+            F.format_string("Physical impossibility: Negative relative humidity (%.1f%%)", rh),
+        ),
+        F.when(
+            t - td < -0.5,
+            F.format_string(
+                "Thermodynamic violation: Dew point (%.1f°C) exceeds ambient temperature (%.1f°C)",
+                td,
+                t,
             ),
-            F.when(
-                (t > 60.0) | (t < -100.0),
-                F.format_string(
-                    "Physical impossibility: Temperature (%.1f°C) outside terrestrial range limits", t
-                ),
+        ),
+        F.when(
+            (t > 60.0) | (t < -100.0),
+            F.format_string(
+                "Physical impossibility: Temperature (%.1f°C) outside terrestrial range limits", t
             ),
-            F.when(
-                (p < 300.0) | (p > 1100.0),
-                F.format_string(
-                    "Physical impossibility: Pressure (%.1f hPa) outside surface barometric limits", p
-                ),
+        ),
+        F.when(
+            (p < 300.0) | (p > 1100.0),
+            F.format_string(
+                "Physical impossibility: Pressure (%.1f hPa) outside surface barometric limits", p
             ),
-        )
+        ),
     )
 
 

@@ -109,3 +109,10 @@ def tie_even(x: Column, digits: int) -> Column:
     printing does; Java's formatter alone would round them up."""
     scaled = x * float(2 * 10**digits)
     return F.when(F.pmod(scaled, F.lit(2.0)) == 1.0, F.bround(x, digits)).otherwise(x)
+
+
+def compact_texts(*texts: Column) -> Column:
+    """Array of the texts that are not null, in order.  Joined and split again: unlike a
+    lambda over an array, this stays inside generated code."""
+    text = F.concat_ws("\u0001", *texts)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\u0001"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SEQUENCE_ERROR_THRESHOLD
 from fieldwatch.functions import physics
-from fieldwatch.functions.text import ladder, maintenance_action, maintenance_status
+from fieldwatch.functions.text import compact_texts, ladder, maintenance_action, maintenance_status
 
 NORMAL = "NORMAL"
 WEATHER = "LIKELY_GENUINE_WEATHER_EVENT"
@@ -51,32 +51,28 @@ def sequence_evidence(mse: Column, threshold: float = SEQUENCE_ERROR_THRESHOLD)
     return F.coalesce(1.0 - F.exp(-0.7 * mse / max(threshold, 1e-6)), F.lit(0.0))
 
 
-def _reason_with(*words: str) -> Column:
-    def hit(r):
-        found = F.lit(True)
-        for w in words:
-            found = found & F.lower(r).contains(w)
-        return found
+def with_text(df: DataFrame) -> DataFrame:
+    """The reasons as one lower-case text, a line each: the tests below are plain text
+    searches inside generated code, not lambdas over an array."""
+    return df if "_text" in df.columns else df.withColumn("_text", F.lower(F.concat_ws("\n", "qc_reasons")))
 
-    return F.exists("qc_reasons", hit)
+
+def _reason_with(word: str, other: str = "") -> Column:
+    """Some reason holds the word (and, on the same line, the other one)."""
+    text = F.col("_text")
+    return text.rlike(f"(?m)^(?=.*{other}).*{word}") if other else text.contains(word)
 
 
 def qc_evidence(df: DataFrame) -> DataFrame:
     """`has_plausibility`, `has_flatline`, `has_spike` and `qc_score` from the reason texts.
     Within one reason the first matching word counts."""
-    plaus = F.exists("qc_reasons", lambda r: F.lower(r).contains("plausibility"))
-    flat = F.exists(
-        "qc_reasons",
-        lambda r: F.lower(r).contains("flatline") & ~F.lower(r).contains("plausibility"),
-    )
-    spike = F.exists(
-        "qc_reasons",
-        lambda r: (F.lower(r).contains("spike") | F.lower(r).contains("rate of change"))
-        & ~F.lower(r).contains("plausibility")
-        & ~F.lower(r).contains("flatline"),
-    )
+    df, text = with_text(df), F.col("_text")
     return df.withColumns(
-        {"has_plausibility": plaus, "has_flatline": flat, "has_spike": spike}
+        {
+            "has_plausibility": text.contains("plausibility"),
+            "has_flatline": text.rlike("(?m)^(?!.*plausibility).*flatline"),
+            "has_spike": text.rlike("(?m)^(?!.*(?:plausibility|flatline)).*(?:spike|rate of change)"),
+        }
     ).withColumn(
         "qc_score",
         F.when(F.col("has_plausibility"), 1.0)
@@ -92,10 +88,11 @@ WORDS = {"temperature": "temp", "pressure": "press", "humidity": "hum"}
 
 def affected_parameters(df: DataFrame) -> DataFrame:
     """`affected_parameters` and `primary_parameter`."""
+    df = with_text(df)
     named = {c: _reason_with(w) for c, w in WORDS.items()}
     hit = {c: named[c] | _yes(f"{c}_spike") | _yes(f"{c}_flatline") for c in CHANNELS}
     df = df.withColumn(
-        "affected_parameters", F.array_compact(F.array(*[F.when(hit[c], F.lit(c)) for c in CHANNELS]))
+        "affected_parameters", compact_texts(*[F.when(hit[c], F.lit(c)) for c in CHANNELS])
     )
     first = F.when(F.size("affected_parameters") > 0, F.col("affected_parameters")[0])
     return df.withColumn(
@@ -400,7 +397,7 @@ def pillar_agreement(df: DataFrame) -> DataFrame:
 
 def decision_row(df: DataFrame) -> DataFrame:
     """The wide output row of a fused observation, with the nested parts also as JSON text."""
-    df = evidence_count_5(df)
+    df = with_text(evidence_count_5(df))
     by = {
         "range_flags": [_reason_with(f"{c}_plausibility") for c in CHANNELS],
         "rate_flags": [F.col(f"{c}_spike") for c in CHANNELS],

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
-from fieldwatch.functions.text import tie_even
+from fieldwatch.functions.text import compact_texts, tie_even
 from fieldwatch.session import cut
 from fieldwatch.timeline import Timeline
 
@@ -26,30 +26,21 @@ SUSPECT_WORDS = {
 }
 
 
-def _has(reasons: Column, *words: str) -> Column:
-    def hit(r):
-        text, found = F.lower(r), F.lit(False)
-        for w in words:
-            found = found | text.contains(w)
-        return found
-
-    return F.exists(reasons, hit)
-
-
-def _has_both(reasons: Column, a: str, b: str) -> Column:
-    return F.exists(reasons, lambda r: F.lower(r).contains(a) & F.lower(r).contains(b))
-
-
 def parameter_suspect_flags(df: DataFrame, reasons: str = "qc_reasons") -> DataFrame:
     """`<channel>_suspect` and `<channel>_flat` from the reason texts.
 
-    Kept as found: a missing reading's reason also marks its channel suspect.
+    Kept as found: a missing reading's reason also marks its channel suspect.  The reasons
+    are joined by line once, so that the tests are plain text searches.
     """
-    out = {}
+    df = df.withColumn("_text", F.lower(F.concat_ws("\n", reasons)))
+    text, out = F.col("_text"), {}
     for c in CHANNELS:
-        out[f"{c}_suspect"] = _has(F.col(reasons), *SUSPECT_WORDS[c])
-        out[f"{c}_flat"] = _has_both(F.col(reasons), c, "flatline")
-    return df.withColumns(out)
+        found = F.lit(False)
+        for word in SUSPECT_WORDS[c]:
+            found = found | text.contains(word)
+        out[f"{c}_suspect"] = found
+        out[f"{c}_flat"] = text.rlike(f"(?m)^(?=.*{c}).*flatline")
+    return df.withColumns(out).drop("_text")
 
 
 def series_rows(df: DataFrame) -> DataFrame:
@@ -253,7 +244,7 @@ def station_health(health: DataFrame) -> DataFrame:
         *[f"{c}_health" for c in CHANNELS],
         overall.alias("overall_health_index"),
         _overall(overall, lowest).alias("overall_status"),
-        F.array_compact(F.array(*alerts)).alias("active_alerts"),
+        compact_texts(*alerts).alias("active_alerts"),
     )
 
 

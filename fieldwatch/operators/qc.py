@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SERVICE, Profile
-from fieldwatch.functions.text import tie_even
+from fieldwatch.functions.text import compact_texts, tie_even
 from fieldwatch.timeline import Timeline, run_at_least
 
 KEYS = ("station_id", "timestamp")
@@ -77,9 +77,7 @@ def flatline(df: DataFrame, profile: Profile = SERVICE) -> DataFrame:
 
 def missing(df: DataFrame) -> DataFrame:
     """`missing_flag` and the names of the missing channels, in channel order."""
-    names = F.array_compact(
-        F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}_missing")) for c in CHANNELS])
-    )
+    names = compact_texts(*[F.when(F.col(c).isNull(), F.lit(f"{c}_missing")) for c in CHANNELS])
     return df.withColumn("missing_channels", names).withColumn(
         "missing_flag", F.size("missing_channels") > 0
     )
@@ -193,7 +191,7 @@ def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column]
         *KEYS,
         *CHANNELS,
         flag.alias("qc_flag"),
-        F.array_compact(F.array(*texts)).alias("qc_reasons"),
+        compact_texts(*texts).alias("qc_reasons"),
         *[cols[f"{c}_spike"].alias(f"{c}_spike") for c in CHANNELS],
         *[F.col(f"{c}_flatline") for c in CHANNELS],
         cols["missing_flag"].alias("missing_flag"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
+from fieldwatch.functions.text import compact_texts
 from fieldwatch.functions.geo import haversine_km, pressure_at
 
 TOLERANCE = {"temperature": 6.0, "pressure": 4.0, "humidity": 25.0}
@@ -91,30 +92,28 @@ def spatial_check(joined: DataFrame) -> DataFrame:
     h_off = F.coalesce(F.abs(dh) > TOLERANCE["humidity"], F.lit(False))
     off = t_off | p_off
     name = F.col("buddy_name")
-    reasons = F.array_compact(
-        F.array(
-            F.when(
-                t_off,
-                F.format_string(
-                    "Spatial discordance: Target temp %.1f°C diverges from %s (%.1f°C) by %.1f°C (> 6.0°C tolerance)",
-                    t, name, bt, dt,
-                ),
+    reasons = compact_texts(
+        F.when(
+            t_off,
+            F.format_string(
+                "Spatial discordance: Target temp %.1f°C diverges from %s (%.1f°C) by %.1f°C (> 6.0°C tolerance)",
+                t, name, bt, dt,
             ),
-            F.when(
-                p_off,
-                F.format_string(
-                    "Spatial discordance: Adjusted pressure %.1f hPa differs from %s (%.1f hPa) by %.1f hPa",
-                    moved, name, bp, dp,
-                ),
+        ),
+        F.when(
+            p_off,
+            F.format_string(
+                "Spatial discordance: Adjusted pressure %.1f hPa differs from %s (%.1f hPa) by %.1f hPa",
+                moved, name, bp, dp,
             ),
-            F.when(
-                h_off,
-                F.format_string(
-                    "Spatial discordance: Relative humidity %.1f%% differs from %s (%.1f%%) by %.1f%%",
-                    h, name, bh, dh,
-                ),
+        ),
+        F.when(
+            h_off,
+            F.format_string(
+                "Spatial discordance: Relative humidity %.1f%% differs from %s (%.1f%%) by %.1f%%",
+                h, name, bh, dh,
             ),
-        )
+        ),
     )
     return joined.select(
         *[c for c in joined.columns if c not in ("buddy_given", "elevation_m", "buddy_elevation_m")],
