@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, HOURLY, Profile
 from fieldwatch.operators.structure import (
+    gap_statistics_of,
+    top_gaps_of,
     duplicate_count,
-    gap_statistics,
     missing_runs,
     segment_ids,
-    top_gaps,
+    time_gaps,
 )
 from fieldwatch.ranks import quantiles
+from fieldwatch.session import cut
 from fieldwatch.timeline import Timeline
 
 
@@ -124,9 +126,12 @@ def around_maximum(df: DataFrame, column: str, rows: int = 5) -> DataFrame:
 def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """One nested row per station: overview, missing values, gaps, longest gaps, statistics.
 
-    raw: rows before de-duplication; clean: the working rows.
+    raw: rows before de-duplication; clean: the working rows.  The working rows and their
+    gaps feed several parts, so they are stored first.
     """
     keyed = ["station_id"]
+    clean = cut(clean, "clean")
+    found = cut(time_gaps(clean), "gaps")
     overview = (
         segment_ids(clean.select("station_id", "timestamp"))
         .groupBy("station_id")
@@ -146,7 +151,7 @@ def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct(*cols))).alias(name)
         )
 
-    gaps = gap_statistics(clean)
+    gaps = gap_statistics_of(clean.select("station_id").distinct(), found, 1.0)
     gaps = gaps.select(
         "station_id", F.struct(*[c for c in gaps.columns if c != "station_id"]).alias("time_gaps")
     )
@@ -157,7 +162,7 @@ def quality_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
         )
         .join(nested(missing_profile(clean), "missing_values", "parameter"), keyed)
         .join(gaps, keyed)
-        .join(nested(top_gaps(clean), "longest_gaps", "rank"), keyed, "left")
+        .join(nested(top_gaps_of(found, 10), "longest_gaps", "rank"), keyed, "left")
         .join(nested(parameter_statistics(clean), "parameter_statistics", "parameter"), keyed)
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SEQUENCE_ROWS
 from fieldwatch.ranks import quantiles
+from fieldwatch.session import cut
 from fieldwatch.timeline import Timeline, hours_between, run_at_least
 
 HOUR_MICROS = 3_600_000_000
@@ -77,7 +78,11 @@ def time_gaps(df: DataFrame, nominal_hours: float = 1.0) -> DataFrame:
 
 def gap_statistics(df: DataFrame, nominal_hours: float = 1.0) -> DataFrame:
     """Per station; zeros where a station has no gap."""
-    gaps = time_gaps(df, nominal_hours)
+    gaps = cut(time_gaps(df, nominal_hours), "gaps")
+    return gap_statistics_of(df.select("station_id").distinct(), gaps, nominal_hours)
+
+
+def gap_statistics_of(stations: DataFrame, gaps: DataFrame, nominal_hours: float) -> DataFrame:
     d = F.col("duration_hours")
     basic = gaps.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("total_gaps"),
@@ -88,17 +93,20 @@ def gap_statistics(df: DataFrame, nominal_hours: float = 1.0) -> DataFrame:
     )
     q = quantiles(gaps, ["station_id"], "duration_hours", {"median_gap_hours": 0.5, "p90": 0.9})
     q = q.withColumn("p90_gap_hours", F.round("p90", 2)).drop("p90")
-    out = df.select("station_id").distinct().join(basic, "station_id", "left").join(q, "station_id", "left")
+    out = stations.join(basic, "station_id", "left").join(q, "station_id", "left")
     zeros = {c: 0 if c == "total_gaps" else 0.0 for c in out.columns if c != "station_id"}
     return out.fillna(zeros)
 
 
 def top_gaps(df: DataFrame, n: int = 10, nominal_hours: float = 1.0) -> DataFrame:
     """The n longest gaps of every station."""
+    return top_gaps_of(time_gaps(df, nominal_hours), n)
+
+
+def top_gaps_of(gaps: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("station_id").orderBy(F.desc("duration_hours"), "gap_start")
     return (
-        time_gaps(df, nominal_hours)
-        .withColumn("rank", F.row_number().over(w))
+        gaps.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= n)
     )
 
@@ -226,7 +234,7 @@ def interval_distribution(df: DataFrame, n: int = 10) -> DataFrame:
     counts = steps.groupBy("station_id", "step_hours").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("station_id").orderBy(F.desc("n"), "step_hours")
     longest = counts.groupBy("station_id").agg(F.max("step_hours").alias("max_step_hours"))
-    median = quantiles(steps, ["station_id"], "step_hours", {"median_step_hours": 0.5})
+    median = quantiles(counts, ["station_id"], "step_hours", {"median_step_hours": 0.5}, "n")
     return (
         counts.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= n)

@@ -366,7 +366,7 @@ ex AS (SELECT *, CASE WHEN k >= 3 AND holes = 0 {1} THEN sqrt(pow(coalesce((dt -
     )
 )
 def multivariate_expanding(spark, d):
-    out = multivariate.multivariate_expanding(quality_control(dense(spark, d)))
+    out = multivariate.multivariate_expanding(cut(quality_control(dense(spark, d))))
     return r6(out.select(*KEYS, "multivariate_score", "multivariate_anomaly"), ["multivariate_score"])
 
 

@@ -23,11 +23,15 @@ def _keyed(keys: Sequence[str]) -> list[Column]:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key: one row per key, one column per name."""
+    """Linear-interpolated quantiles per key: one row per key, one column per name.
+    weight: column that says how many times a row's value occurs."""
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    times = F.lit(1) if weight is None else F.col(weight)
+    base = df.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_w")
+    )
     base = base.withColumn("_b", bucket(F.col("_v")))
     by_bucket = Window.partitionBy(*_keyed(keys)).orderBy("_b")
     wanted = F.explode(
@@ -35,7 +39,7 @@ def quantiles(
     )
     counts = (
         base.groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
         .withColumn("_start", F.sum("_n").over(by_bucket) - F.col("_n"))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(*_keyed(keys))))
         .withColumn("_q", wanted)
@@ -60,7 +64,7 @@ def quantiles(
     values = (
         base.join(hit, [*keys, "_b"], "left_semi")
         .groupBy(*keys, "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_m"))
+        .agg(F.sum("_w").alias("_m"))
         .withColumn("_to", F.sum("_m").over(in_bucket))
     )
     found = targets.join(values, [*keys, "_b"]).where(
