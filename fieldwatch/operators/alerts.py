@@ -157,7 +157,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, day: str = "log
     (
         spark.read.schema(merged.schema)
         .parquet(staged)
-        .repartition(day)
+        .hint("rebalance", day)  # few files per day; adaptive execution splits a big day
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(day)

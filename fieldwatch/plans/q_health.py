@@ -403,7 +403,7 @@ def active_health_alerts(spark, d):
     avg(CAST(gap_flag AS INT)) * 100 AS g FROM hq GROUP BY 1)""",
     )
 )
-def hourly_health_score(spark, d):
+def nb_health_score(spark, d):
     out = health.hourly_health_score(hourly_qc(dense(spark, d)))
     return out.select("station_id", F.round("health_score", 6).alias("health_score"))
 

@@ -20,7 +20,7 @@ def cols(suffix):
 
 
 @cat.query(sql(*hourly_ctes(SPARSE, "sparse"), body=f'SELECT station_id, "timestamp", {pick("range", "range_flag")} FROM hq'))
-def hourly_range_flags(spark, d):
+def nb_range_flags(spark, d):
     return hq.range_flags(clean_sparse(spark, d)).select(*KEYS, *cols("range_flag"))
 
 
@@ -32,12 +32,12 @@ def _rates(gated):
 
 
 @cat.query(_rates(True))
-def hourly_rate_flags(spark, d):
+def nb_rate_flags(spark, d):
     return hq.rate_flags(clean_sparse(spark, d)).select(*KEYS, *cols("change"), *cols("rate_flag"))
 
 
 @cat.query(_rates(False))
-def hourly_rate_flags_ungated(spark, d):
+def nb_rate_flags_ungated(spark, d):
     out = hq.rate_flags(clean_sparse(spark, d), gated=False)
     return out.select(*KEYS, *cols("change"), *cols("rate_flag"))
 
@@ -49,7 +49,7 @@ def hourly_rate_flags_ungated(spark, d):
   t_spike AS temperature_spike_flag FROM hq""",
     )
 )
-def hourly_local_spike(spark, d):
+def nb_local_spike(spark, d):
     return hq.local_spike(holed(spark, d)).select(*KEYS, "temperature_local_median", "temperature_spike_flag")
 
 
@@ -69,17 +69,17 @@ def centered_median_spike(spark, d):
 
 
 @cat.query(sql(*hourly_ctes(DENSE, "dense"), body=f'SELECT station_id, "timestamp", {pick("flat", "flatline_flag")} FROM hq'))
-def hourly_flatline(spark, d):
+def nb_flatline(spark, d):
     return hq.flatline_flags(dense(spark, d)).select(*KEYS, *cols("flatline_flag"))
 
 
 @cat.query(sql(*hourly_ctes(SPARSE, "sparse"), body='SELECT station_id, "timestamp", gap_flag FROM hq'))
-def hourly_gap_flag(spark, d):
+def nb_gap_flag(spark, d):
     return hq.gap_flag(clean_sparse(spark, d)).select(*KEYS, "gap_flag")
 
 
 @cat.query(sql(*hourly_ctes(SPARSE, "sparse"), body='SELECT station_id, "timestamp", qc_flag, qc_reasons FROM hq'))
-def hourly_qc_flag_reasons(spark, d):
+def nb_qc_flag_reasons(spark, d):
     return hq.hourly_qc(clean_sparse(spark, d)).select(*KEYS, "qc_flag", "qc_reasons")
 
 
@@ -90,6 +90,6 @@ def hourly_qc_flag_reasons(spark, d):
   {pick("change", "change")}, {pick("rate", "rate_flag")}, {pick("flat", "flatline_flag")}, gap_flag, qc_flag FROM hq""",
     )
 )
-def hourly_pipeline_qc(spark, d):
+def nb_pipeline_qc(spark, d):
     out = hq.hourly_qc(dense(spark, d), gated=False, spikes=False)
     return out.drop("station_no", "qc_reasons")

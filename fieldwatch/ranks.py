@@ -1,6 +1,6 @@
 """Exact quantiles and ranks without sorting one group in one task.
 
-Values fall into buckets by an order-preserving formula (4096 buckets per doubling of
+Values fall into buckets by an order-preserving formula (2^20 buckets per doubling of
 magnitude).  Counting buckets is a small partial aggregate; only the buckets a quantile
 falls into are looked at value by value, and equal values are counted first.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 def bucket(value: Column) -> Column:
     """Non-decreasing in `value`."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 4096)).cast("long")
+    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 1048576)).cast("long")
 
 
 def _keyed(keys: Sequence[str]) -> list[Column]:
