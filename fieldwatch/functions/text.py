@@ -105,10 +105,21 @@ def joined(parts: list[tuple[Column, str]], empty: str | None, sep: str = "; ")
 
 
 def tie_even(x: Column, digits: int) -> Column:
-    """Prepare a value for `%.<digits>f`: exact halves go to the even digit, as IEEE
-    printing does; Java's formatter alone would round them up."""
-    scaled = x * float(2 * 10**digits)
-    return F.when(F.pmod(scaled, F.lit(2.0)) == 1.0, F.bround(x, digits)).otherwise(x)
+    """Prepare a value for `%.<digits>f`, so that it prints as IEEE printing does.
+
+    Java's formatter rounds the shortest decimal text half up; this rounds by the exact
+    binary value.  Only values whose double at twice the scale is an odd whole number can
+    differ; for those the product's rounding error (exact by splitting x in two halves)
+    tells which side of the tie the value is on, and a true tie goes to the even digit.
+    """
+    k = float(2 * 10**digits)
+    product = x * k
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    error = (high * k - product) + (x - high) * k
+    up, down = (product + 1) / 2, (product - 1) / 2
+    even = F.when(F.pmod(up, F.lit(2.0)) == 0, up).otherwise(down)
+    nearest = F.when(error > 0, up).when(error < 0, down).otherwise(even) / float(10**digits)
+    return F.when(F.pmod(product, F.lit(2.0)) == 1.0, nearest).otherwise(x)
 
 
 def compact_texts(*texts: Column) -> Column:

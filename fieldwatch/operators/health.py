@@ -217,11 +217,15 @@ def station_health(health: DataFrame) -> DataFrame:
         *[of(c, "status").alias(f"{c}_status") for c in CHANNELS],
         *[of(c, "error_rate_24h").alias(f"_e_{c}") for c in CHANNELS],
     )
+    wide = wide.withColumns(
+        {f"_i_{c}": tie_even(F.col(f"{c}_health"), 1) for c in CHANNELS}
+        | {f"_p_{c}": tie_even(F.col(f"_e_{c}") * 100, 1) for c in CHANNELS}
+    )
     t, p, h = (F.col(f"{c}_health") for c in CHANNELS)
     overall, lowest = t * 0.4 + p * 0.4 + h * 0.2, F.least(t, p, h)
     alerts = []
     for c in CHANNELS:
-        index = tie_even(F.col(f"{c}_health"), 1)
+        index = F.col(f"_i_{c}")
         status = F.col(f"{c}_status")
         alerts.append(
             F.when(
@@ -229,7 +233,7 @@ def station_health(health: DataFrame) -> DataFrame:
                 F.format_string(
                     f"Sensor [{c}] degrading (Health: %.1f%%, 24h error rate: %.1f%%)",
                     index,
-                    tie_even(F.col(f"_e_{c}") * 100, 1),
+                    F.col(f"_p_{c}"),
                 ),
             )
             .when(
@@ -344,13 +348,19 @@ def longterm_health(
 
 def station_snapshot(health: DataFrame, keys: Sequence[str] = ("station_id",)) -> DataFrame:
     """Mean and lowest index over the parameters (three rows per key), status, alerts."""
-    index, name = tie_even(F.col("health_index"), 1), F.col("parameter")
+    health = health.withColumns(
+        {
+            "_index": tie_even(F.col("health_index"), 1),
+            "_trend": tie_even(F.col("recent_anomaly_trend"), 2),
+        }
+    )
+    index, name = F.col("_index"), F.col("parameter")
     alert = (
         F.when(
             F.col("status") == "DEGRADING",
             F.format_string(
                 "Sensor [%s] health degrading (Health: %.1f%%, Trend: %+.2f)",
-                name, index, tie_even(F.col("recent_anomaly_trend"), 2),
+                name, index, F.col("_trend"),
             ),
         )
         .when(

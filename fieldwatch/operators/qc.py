@@ -143,6 +143,7 @@ def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column]
     values (`_p_<channel>`) and the flatline flags.  Shared by the batch and stream jobs."""
     lim = lim or _limits(profile, None)
     gap = F.coalesce(F.col("_h") > profile.nominal_hours, F.lit(False))
+    out = out.withColumns({f"_r_{c}": _rate(c, F.lit(profile.rate_gap_hours)) for c in CHANNELS})
     cols = {
         "missing_flag": F.col("temperature").isNull()
         | F.col("pressure").isNull()
@@ -162,7 +163,7 @@ def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column]
     ranged = {c: plausibility_reason(c, lim[f"{c}_min"], lim[f"{c}_max"]) for c in CHANNELS}
     texts += ranged.values()
     for c in CHANNELS:
-        rate = _rate(c, F.lit(profile.rate_gap_hours))
+        rate = F.col(f"_r_{c}")
         cols[f"{c}_spike"] = F.coalesce(rate > lim[f"{c}_rate_max"], F.lit(False))
         texts.append(
             F.when(

@@ -165,3 +165,12 @@ def test_votes_keep_rows_and_values(spark):
     assert [(r.temperature, r.pressure, r.humidity) for r in got] == [e[1:] for e in EVENT]
     assert got[2].estimated_temperature == pytest.approx(-20.0) and got[2].estimated_pressure is None
     assert got[3].recovery_reason == recovery.HOURLY_TEXTS["edge"]
+
+
+def test_printed_halves_follow_the_binary_value(spark):
+    from fieldwatch.functions.text import tie_even
+
+    xs = [70.55, 62.25, 62.35, 62.45, 78.75, 0.15, 0.25, 0.35, 21.25, 99.95, -0.25, -70.55, 12.3, 0.0, 100.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(F.format_string("%.1f", tie_even(F.col("x"), 1))).collect()]
+    assert got == [f"{x:.1f}" for x in xs]
