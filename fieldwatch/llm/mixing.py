@@ -44,7 +44,7 @@ def _rate(lam, cap):
     return F.least(F.lit(cap), F.exp(lam * F.col("x")))
 
 
-def balance(cells: DataFrame, cap: float = 2.0, tolerance: float = 1e-10, most_steps: int = 80) -> DataFrame:
+def balance(cells: DataFrame, cap: float = 2.0, tolerance: float = 1e-6, most_steps: int = 80) -> DataFrame:
     """Solve the dual of the entropy problem of every source at once.
 
     cells: source_no, size, n, x (size over the source's mean size), source_size, scale,
