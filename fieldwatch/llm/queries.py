@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import exact, mixing, packing, tokens, vectors
-from fieldwatch.llm.common import table
+from fieldwatch.llm import exact, mixing, packing, simhash, templates, tokens, toxicity, vectors
+from fieldwatch.llm.common import table, unsigned_hex
 from fieldwatch.plans.catalog import Catalog
 
 cat = Catalog()
@@ -38,6 +38,25 @@ def op2_packing(spark, d):
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@cat.query()
+def op3_simhash_dedup(spark, d):
+    linked = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, most_bits=2)
+    return linked.withColumn("fingerprint", unsigned_hex(F.col("fingerprint")))
+
+
+@cat.query()
+def op4_toxicity(spark, d):
+    docs = table(spark, d, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fit_model(docs, table(spark, d, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "rejected")
+
+
+@cat.query(templates.SQL)
+def op5_line_dedup(spark, d):
+    return templates.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @cat.query()
 def op6_source_mixing(spark, d):
     return mixing.mix_sources(table(spark, d, "documents"))
