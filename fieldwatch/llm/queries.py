@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import exact, mixing, packing, simhash, templates, tokens, toxicity, vectors
+from fieldwatch.llm import exact, mixing, packing, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
 from fieldwatch.llm.common import table, unsigned_hex
 from fieldwatch.plans.catalog import Catalog
 
@@ -73,9 +73,21 @@ def op7_exact_dedup(spark, d):
     return exact.exact_copies(table(spark, d, "documents"))
 
 
+@cat.query()
+def op8_substring_dedup(spark, d):
+    cut = suffix_tree.dedup_substrings(table(spark, d, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @cat.query()
 def op9_token_files(spark, d):
     folder = tokens.token_folder(spark)
     manifest = tokens.write_token_files(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
     back = tokens.read_token_files(manifest, folder)
     return back.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@cat.query()
+def op10_suffix_array_dedup(spark, d):
+    cut = suffix_array.dedup_bytes(table(spark, d, "documents"))
+    return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
