@@ -23,8 +23,13 @@ def _leaf(tokens, depth):
     return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth))
 
 
+def text_of(id_col, text_col):
+    """A document's id, then the hash of its text; null ids come last."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("hash"))
+
+
 def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH, least_docs: int = LEAST_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
-    """form, first_doc: line forms whose template recurs, and the first document that has it.
+    """form, first: line forms whose template recurs; the first document that has it and its text's hash.
 
     Fixed-depth parsing sends a line form to the leaf of its token count and leading
     tokens.  In a leaf, a token is constant at its position if it stands there in lines
@@ -34,7 +39,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DE
     more, each distinct line counted once per document.
     """
     form = F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), line_form)))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), form.alias("form")).where("form <> ''")
+    lines = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), form.alias("form")).where("form <> ''")
     lines = lines.withColumn("leaf", F.xxhash64(_leaf(F.split("form", " "), depth)))
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     kept = lines.join(busy, "leaf", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
@@ -54,8 +59,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DE
     )
     named = kept.join(general, "id", "left").withColumn("template", F.coalesce("general", "form"))
     named = stored(named.select("form", "docs", "first", F.unhex(F.md5("template")).alias("template")), "line-templates")
-    known = named.groupBy("template").agg(F.sum("docs").alias("n"), F.min("first").alias("first_doc")).where(F.col("n") >= least_docs)
-    return named.join(known, "template").select("form", "first_doc")
+    known = named.groupBy("template").agg(F.sum("docs").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least_docs)
+    return named.drop("first").join(known, "template").select("form", "first")
 
 
 def dedup_lines(
@@ -63,22 +68,23 @@ def dedup_lines(
 ) -> DataFrame:
     """docs with the lines of recurring templates dropped, and n_lines, n_removed (longs).
 
-    The first document of a template, by id, keeps its lines; everywhere else they go.
+    The first document of a template, by id, and its exact copies keep the lines (so that
+    copies stay copies for a later step); everywhere else they go.
     Lines are joined by their hash alone; the texts travel once, to be rewritten.  A
     line that stands in a third of all documents is one row per task when it is
     counted, and in the join it is split by adaptive execution.
 
     Nulls and corner cases: null text stays null (0 lines); empty text has one blank
-    line; blank lines are never dropped; lines of rows with a null id are counted and
-    dropped, unless all rows of the template have a null id; rows that repeat an id
-    count and are cleaned as one document each; other columns pass through.
+    line; blank lines are never dropped, and a text may lose all others; a null id is
+    the last in order; rows that repeat an id count as one document each, and a row
+    loses what its id's rows lose; other columns pass through.
     """
     recurring = recurring_lines(docs, id_col, text_col, depth, least_docs, share)
-    recurring = stored(recurring.select(F.unhex(F.md5("form")).alias("form_hash"), "first_doc"), "recurring-lines")
+    recurring = stored(recurring.select(F.unhex(F.md5("form")).alias("form_hash"), F.col("first.hash").alias("first_hash")), "recurring-lines")
     lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("line_doc"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.unhex(F.md5(line_form(x)))))).alias("form_hash")
+        F.col(id_col).alias("line_doc"), F.unhex(F.md5(text_col)).alias("hash"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.unhex(F.md5(line_form(x)))))).alias("form_hash")
     )
-    dropped = lines.join(recurring, "form_hash").where(~F.col("line_doc").eqNullSafe(F.col("first_doc")) & F.col("first_doc").isNotNull())
+    dropped = lines.join(recurring, "form_hash").where("hash <> first_hash")
     by_doc = dropped.groupBy("line_doc").agg(F.collect_set("form_hash").alias("gone_forms"))
     text = F.split(F.col(text_col), "\n")
     stay = F.filter(text, lambda x: ~F.array_contains(F.col("gone_forms"), F.unhex(F.md5(line_form(x)))))
@@ -96,12 +102,12 @@ def dedup_lines(
 
 
 SQL = r"""WITH lines AS (
-  SELECT DISTINCT doc_id, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS form
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL)),
-split AS (SELECT doc_id, form, string_split(form, ' ') AS tok FROM lines WHERE form <> ''),
+  SELECT DISTINCT doc_id, hash, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS form
+  FROM (SELECT doc_id, md5(text) AS hash, unnest(string_split(text, chr(10))) AS l FROM documents WHERE text IS NOT NULL)),
+split AS (SELECT doc_id, hash, form, string_split(form, ' ') AS tok FROM lines WHERE form <> ''),
 forms AS (
   SELECT form, any_value(tok) AS tok, concat_ws(' ', len(any_value(tok)), any_value(tok)[1], any_value(tok)[2]) AS leaf,
-    count(*) AS docs, min(doc_id) AS first FROM split GROUP BY form),
+    count(*) AS docs, min({'id': doc_id, 'hash': hash}) AS first FROM split GROUP BY form),
 busy AS (SELECT leaf FROM forms GROUP BY leaf HAVING sum(docs) >= 5),
 kept AS (SELECT * FROM forms WHERE leaf IN (SELECT leaf FROM busy)),
 tokens AS (SELECT form, leaf, docs, unnest(range(1, len(tok) + 1)) AS pos, unnest(tok) AS token FROM kept),
@@ -111,13 +117,13 @@ general AS (
   FROM tokens t LEFT JOIN constant c ON t.leaf = c.leaf AND t.pos = c.pos AND t.token = c.token
   GROUP BY t.form HAVING count(c.token) >= 0.8 * count(*)),
 named AS (SELECT k.form, k.docs, k.first, coalesce(g.template, k.form) AS template FROM kept k LEFT JOIN general g ON k.form = g.form),
-known AS (SELECT template, min(first) AS first_doc FROM named GROUP BY template HAVING sum(docs) >= 5),
-gone AS (SELECT form, first_doc FROM named JOIN known USING (template)),
+known AS (SELECT template, min(first) AS first FROM named GROUP BY template HAVING sum(docs) >= 5),
+gone AS (SELECT named.form, known.first.hash AS first_hash FROM named JOIN known USING (template)),
 parts AS (
-  SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, unnest(string_split(text, chr(10))) AS l
+  SELECT doc_id, md5(text) AS hash, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos, unnest(string_split(text, chr(10))) AS l
   FROM documents WHERE text IS NOT NULL),
 judged AS (
-  SELECT p.doc_id, p.pos, p.l, g.form IS NOT NULL AND g.first_doc <> p.doc_id AS dropped
+  SELECT p.doc_id, p.pos, p.l, g.form IS NOT NULL AND g.first_hash <> p.hash AS dropped
   FROM (SELECT *, regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS form FROM parts) p
   LEFT JOIN gone g ON p.form = g.form),
 cleaned AS (
