@@ -32,14 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in their first document only.
-
-    A document of which no line is left that is not blank goes: all it had stands in
-    earlier documents.
-    """
-    cleaned = templates.dedup_lines(docs.select(*COLUMNS))
-    emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")) == "")
-    return _documents(cleaned.where(~F.coalesce(emptied, F.lit(False))))
+    """Lines of recurring templates stay in their first document and its copies only; no document goes."""
+    return _documents(templates.dedup_lines(docs.select(*COLUMNS)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
