@@ -34,6 +34,8 @@ TIMESTAMP_FORMATS = (
     "yyyy-MM-dd HH:mm",
     "M/d/yyyy H:mm:ss",
     "M/d/yyyy H:mm",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy h:mm a",
     "yyyy-MM-dd",
 )
 DAY_FIRST_FORMATS = ("d/M/yyyy H:mm", "d-M-yyyy H:mm", "yyyy-MM-dd HH:mm:ss")

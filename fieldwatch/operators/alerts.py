@@ -137,13 +137,26 @@ def upsert(log: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select(*log.columns).unionByName(both.where(~has_key).select(*log.columns))
 
 
+# The day of log rows that have no time; a null partition would be lost when days are rewritten.
+UNDATED = "0001-01-01"
+
+
+def log_day() -> Column:
+    """Day a log row is stored under: that of its key's time, else of its own time, else UNDATED.
+
+    Every row of a key thus lies in one partition, whatever its time column says.
+    """
+    in_key = F.regexp_extract(F.coalesce("alert_key", F.lit("")), r"\|(\d{4}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}\|", 1)
+    return F.coalesce(F.try_to_timestamp(in_key, F.lit("yyyy-MM-dd")).cast("date"), F.to_date("timestamp"), F.lit(UNDATED).cast("date"))
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, day: str = "log_day") -> None:
     """Merge `new` into a Parquet log partitioned by `day`, rewriting only the days `new` has.
 
-    The key holds the observation time, so a key never moves to another day.  The merged rows
-    are staged first: a lost executor cannot damage the log.
+    A key always belongs to one day (see log_day).  The merged rows are staged first: a
+    lost executor cannot damage the log.
     """
-    new = new.withColumn(day, F.to_date("timestamp"))
+    new = new.withColumn(day, log_day())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
     if exists:
@@ -195,15 +208,30 @@ def anomalies(log: DataFrame) -> DataFrame:
 def alerts_page(log: DataFrame, page: int = 1, page_size: int = 10, **filters) -> DataFrame:
     """One page of anomalies, newest first, with the total and the number of pages.
 
-    A top-k over page * size rows, not a numbering of the whole log.
+    A top-k over page * size rows, not a numbering of the whole log; for deep pages take
+    alerts_before.  A page past the end is one row with the totals and no item.
     """
     page, size = max(1, int(page)), max(1, min(MAX_PAGE, int(page_size)))
     rows = alert_filter(anomalies(log), **filters)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     items = rows.orderBy(F.desc("timestamp"), F.desc("id")).offset((page - 1) * size).limit(size)
-    return items.crossJoin(F.broadcast(total)).withColumn(  # one row
-        "total_pages", F.floor((F.col("total") + size - 1) / size)
-    )
+    paged = total.withColumn("total_pages", F.floor((F.col("total") + size - 1) / size))
+    return paged.join(F.broadcast(items), F.lit(True), "left").select(*log.columns, "total", "total_pages")  # at most a page
+
+
+def alerts_before(log: DataFrame, timestamp, id_, page_size: int = 10, **filters) -> DataFrame:
+    """The next page after a known last item: the newest anomalies before (timestamp, id).
+
+    Costs the same at any depth, since rows in front of the page are filtered at the scan.
+    Undated anomalies follow all dated ones.
+    """
+    size = max(1, min(MAX_PAGE, int(page_size)))
+    when = F.lit(timestamp).cast("timestamp_ntz")
+    older = (F.col("timestamp") < when) | F.col("timestamp").isNull() | ((F.col("timestamp") == when) & (F.col("id") < id_))
+    if timestamp is None:
+        older = F.col("timestamp").isNull() & (F.col("id") < id_)
+    rows = alert_filter(anomalies(log), **filters).where(older)
+    return rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(size)
 
 
 def severity_counts(log: DataFrame) -> DataFrame:

@@ -55,8 +55,14 @@ def sentinel_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
 
 
 def parse_timestamp(text: Column, formats: Sequence[str] = TIMESTAMP_FORMATS) -> Column:
-    """First format that reads the text; null when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """First format that reads the text; null when none does.
+
+    Date and time texts with a fraction of a second, a zone offset or a `Z` are read as
+    well; an offset is turned into the session's zone.
+    """
+    full = text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})? ?(Z|UTC|[+-]\d{2}:?\d{2})?$")
+    iso = F.regexp_replace(F.regexp_replace(text, r" ?(Z|UTC)$", "+00:00"), r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats], F.when(full, iso.try_cast("timestamp")))
 
 
 def parse_timestamps(

@@ -135,36 +135,35 @@ def dedup_alerts(spark, d):
     return alerts.dedup_alerts(keyed).select("id", "alert_key", "severity")
 
 
-UPSERT = """both_ AS (SELECT *, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS src FROM log WHERE event_type IN ('click', 'error', 'purchase')),
+UPSERT = """both_ AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END AS src FROM log),
 up AS (SELECT key, arg_min(id, src * 1000000000000 + id) AS id, arg_min(created_at, src * 1000000000000 + id) AS created_at,
     arg_max(severity, src * 1000000000000 + id) AS severity, arg_max(value, src * 1000000000000 + id) AS observed_value FROM both_ GROUP BY key)"""
 
 
 def _same_cause(rows):
     """Make keys of the two sets meet: drop the class from the cause."""
-    return rows.withColumn("alert_key", F.regexp_replace("alert_key", "\\|(likely_sensor_data_fault|normal)$", "|none"))
+    classes = "likely_sensor_data_fault|likely_genuine_weather_event|uncertain|normal"
+    return rows.withColumn("alert_key", F.regexp_replace("alert_key", rf"\|({classes})$", "|none"))
 
 
 @cat.query(
     with_sql(
-        KEY_SQL.replace("AS key FROM keyed", "AS key0 FROM keyed").replace(
-            "log AS (SELECT", "log0 AS (SELECT"
-        )
-        + r""", log AS (SELECT *, regexp_replace(key0, '\|(likely_sensor_data_fault|normal)$', '|none') AS key FROM log0)""",
+        KEY_SQL.replace("log AS (SELECT", "log0 AS (SELECT"),
+        BROKEN_KEY.replace("FROM log)", "FROM log0)"),
+        r"""log AS (SELECT * EXCLUDE (key), regexp_replace(fkey, '\|(likely_sensor_data_fault|likely_genuine_weather_event|uncertain|normal)$', '|none') AS key FROM fixed)""",
         UPSERT,
         body="SELECT id, key AS alert_key, severity, observed_value, created_at FROM up",
     )
 )
 def upsert_observation_log(spark, d):
-    """Clicks are stored first, then errors and purchases arrive: some keys are known."""
+    """Clicks and views are stored first, then all other types arrive: some keys are known."""
     path = work_path(spark, "log")
     rows = alerts.with_alert_keys(log(spark, d))
     rows = _same_cause(rows)
-    first = rows.where("classification = 'LIKELY_SENSOR_DATA_FAULT'")
-    second = rows.where("classification = 'NORMAL'")
-    for part in (first, second):
+    early = F.col("classification").isin("LIKELY_SENSOR_DATA_FAULT", "LIKELY_GENUINE_WEATHER_EVENT")
+    for part in (rows.where(early), rows.where(~early)):
         alerts.upsert_table(spark, path, part)
-    stored = spark.read.schema(rows.withColumn("log_day", F.to_date("timestamp")).schema).parquet(path)
+    stored = spark.read.schema(rows.withColumn("log_day", alerts.log_day()).schema).parquet(path)
     return stored.select("id", "alert_key", "severity", "observed_value", "created_at")
 
 

@@ -52,16 +52,20 @@ def sentinel_counts(spark, d):
 
 @cat.query(
     """SELECT event_id, CASE event_type WHEN 'error' THEN NULL
-  WHEN 'click' THEN date_trunc('second', ts) WHEN 'view' THEN date_trunc('minute', ts)
+  WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 330 MINUTE ELSE date_trunc('millisecond', ts) END
+  WHEN 'view' THEN date_trunc('minute', ts)
   WHEN 'signup' THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS "timestamp",
   count(*) FILTER (event_type = 'error') OVER () AS unparsed FROM events"""
 )
 def parse_timestamps(spark, d):
-    """Five text layouts, one of them unreadable."""
+    """Eight text layouts, with a zone offset, a fraction and a 12-hour clock; one is unreadable."""
     kind = F.col("event_type")
     written = (
         F.when(kind == "error", "not a time")
-        .when(kind == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when((kind == "click") & (F.col("event_id") % 3 == 0), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+        .when((kind == "click") & (F.col("event_id") % 3 == 1), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")))
+        .when(kind == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .when((kind == "view") & (F.col("event_id") % 2 == 0), F.date_format("ts", "M/d/yyyy h:mm a"))
         .when(kind == "view", F.date_format("ts", "M/d/yyyy H:mm"))
         .when(kind == "signup", F.date_format("ts", "yyyy-MM-dd"))
         .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))

@@ -101,16 +101,16 @@ def stream_prewarm(spark, d):
 @cat.query(
     q_alerts.with_sql(
         q_alerts.KEY_SQL,
+        q_alerts.BROKEN_KEY,
         body="""SELECT key AS alert_key, min(id) AS id, arg_max(severity, id) AS severity, arg_max(value, id) AS observed_value
-FROM log WHERE event_type IN ('click', 'view') GROUP BY key""",
+FROM (SELECT * EXCLUDE (key), fkey AS key FROM fixed) GROUP BY key""",
     )
 )
 def stream_alert_sink(spark, d):
     rows = alerts.with_alert_keys(q_alerts.log(spark, d))
-    rows = rows.where("classification IN ('LIKELY_SENSOR_DATA_FAULT', 'LIKELY_GENUINE_WEATHER_EVENT')")
     path = work_path(spark, "alert_log")
     jobs.alert_sink(in_order(rows), path, work_path(spark, "alert_checkpoint")).awaitTermination()
-    log = spark.read.schema(rows.withColumn("log_day", F.to_date("timestamp")).schema).parquet(path)
+    log = spark.read.schema(rows.withColumn("log_day", alerts.log_day()).schema).parquet(path)
     return log.select("alert_key", "id", "severity", "observed_value")
 
 

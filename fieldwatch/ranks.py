@@ -1,8 +1,10 @@
 """Exact quantiles and ranks without sorting one group in one task.
 
-Values fall into buckets by an order-preserving formula (2^20 buckets per doubling of
-magnitude).  Counting buckets is a small partial aggregate; only the buckets a quantile
-falls into are looked at value by value, and equal values are counted first.
+Values fall into buckets by an order-preserving formula: 2^20 buckets per doubling of
+magnitude, at every magnitude.  Counting buckets is a small partial aggregate; only the
+buckets a quantile falls into are looked at value by value, and equal values are counted
+first.  Running counts have two levels, doublings and the buckets inside one, so that no
+task sees more than about 4,300 or a million rows, with or without keys.
 """
 
 from __future__ import annotations
@@ -14,8 +16,37 @@ from pyspark.sql import functions as F
 
 
 def bucket(value: Column) -> Column:
-    """Non-decreasing in `value`."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1) * 1048576)).cast("long")
+    """Non-decreasing in `value`; its integer part by 2^20 is the doubling.
+
+    Doubles reach from 2^-1074 to 2^1024, so the shifted logarithm is positive.
+    """
+    scaled = F.floor((F.log2(F.abs(value)) + 1075) * 1048576)
+    return F.when(value == 0, 0).otherwise(F.signum(value) * F.least(F.greatest(scaled, F.lit(1)), F.lit(2100 << 20))).cast("long")
+
+
+def running(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """Adds `_start` (rows in smaller buckets) and `_total` to counts per bucket `_b`."""
+    level = F.shiftright("_b", 20)
+    coarse = counts.groupBy(*keys, level.alias("_c")).agg(F.sum(n).alias("_cn"))
+    before = Window.partitionBy(*_keyed(keys)).orderBy("_c")
+    coarse = coarse.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_c").alias("_c_c"),
+        (F.sum("_cn").over(before) - F.col("_cn")).alias("_before_c"),
+        F.sum("_cn").over(Window.partitionBy(*_keyed(keys))).alias("_total"),
+    )
+    same = F.col("_c") == F.col("_c_c")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    fine = Window.partitionBy(*keys, "_c").orderBy("_b")
+    inside = F.sum(n).over(fine) - F.col(n)
+    return (
+        counts.withColumn("_c", level)
+        .withColumn("_inside", inside)
+        .join(coarse, same)
+        .withColumn("_start", F.col("_before_c") + F.col("_inside"))
+        .drop("_c", "_c_c", "_inside", "_before_c", *[f"_k_{k}" for k in keys])
+    )
 
 
 def _keyed(keys: Sequence[str]) -> list[Column]:
@@ -33,17 +64,10 @@ def quantiles(
         *keys, F.col(value).cast("double").alias("_v"), times.cast("long").alias("_w")
     )
     base = base.withColumn("_b", bucket(F.col("_v")))
-    by_bucket = Window.partitionBy(*_keyed(keys)).orderBy("_b")
     wanted = F.explode(
         F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
     )
-    counts = (
-        base.groupBy(*keys, "_b")
-        .agg(F.sum("_w").alias("_n"))
-        .withColumn("_start", F.sum("_n").over(by_bucket) - F.col("_n"))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*_keyed(keys))))
-        .withColumn("_q", wanted)
-    )
+    counts = running(base.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n")), keys, "_n").withColumn("_q", wanted)
     place = (F.col("_total") - 1) * F.col("_q.p")
     targets = (
         counts.withColumn("_frac", place - F.floor(place))
@@ -98,15 +122,8 @@ def share_at_most(
         .agg(F.sum("_n").alias("_n"))
         .withColumn("_b", bucket(F.col("_v")))
     )
-    offsets = (
-        points.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn(
-            "_before",
-            F.sum("_bn").over(Window.partitionBy(*_keyed(keys)).orderBy("_b")) - F.col("_bn"),
-        )
-        .withColumn("_refs", F.sum("_bn").over(Window.partitionBy(*_keyed(keys))))
-    )
+    offsets = running(points.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")), keys, "_bn")
+    offsets = offsets.withColumnsRenamed({"_start": "_before", "_total": "_refs"})
     ranked = (
         points.withColumn("_in", F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
         .join(offsets, [*keys, "_b"])
