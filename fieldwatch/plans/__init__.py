@@ -16,6 +16,7 @@ FAMILIES = (
     "q_fusion",
     "q_alerts",
     "q_models",
+    "q_decisions",
     "q_streaming",
 )
 
