@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from fieldwatch.session import BLOCK_BUCKET, BLOCK_ROWS, conf
 
-_UNDATED = 1 << 40  # bucket of rows without a timestamp: they sort last
-_HELPERS = ("_blk", "_core", "_at", "_all", "_rn")
+_UNDATED = 1 << 40  # first bucket of rows without a timestamp: they sort last
+_UNDATED_BUCKETS = 4096  # undated rows of a station are dealt over so many buckets by hash
+_HELPERS = ("_blk", "_core", "_at", "_all", "_rn", "_tie")
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -31,6 +32,11 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros_between(start, end) / F.lit(3.6e9)
 
 
+def _tie_break(df: DataFrame) -> Column:
+    """A hash of the row: orders rows of the same time alike in every evaluation."""
+    return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def _bucket(ts: Column, unit: str) -> Column:
     day = F.unix_date(F.to_date(ts)).cast("long")
     number = {
@@ -38,13 +44,16 @@ def _bucket(ts: Column, unit: str) -> Column:
         "hour": day * 24 + F.hour(ts),
         "minute": (day * 24 + F.hour(ts)) * 60 + F.minute(ts),
     }[unit]
-    return F.coalesce(number, F.lit(_UNDATED))
+    return F.coalesce(number, F.lit(_UNDATED) + F.pmod("_tie", F.lit(_UNDATED_BUCKETS)))
 
 
 class Timeline:
     """A frame cut into blocks.
 
     lookback / lookahead: how many rows before / after a row the caller's frames reach.
+    Rows of one time are ordered by `tie` (undated rows by a hash first), then by a hash of
+    the row, so the order is the same in every evaluation; undated rows are spread over
+    many buckets.
     ``df`` is the working frame, ``w`` the window spec over a block.  Rows with
     ``_core`` false are copies from neighbouring blocks; `done` drops them.
     """
@@ -62,6 +71,7 @@ class Timeline:
         size = int(conf(spark, BLOCK_ROWS, "65536"))
         unit = conf(spark, BLOCK_BUCKET, "day")
         self.station, self.ts = station, ts
+        df = df.withColumn("_tie", _tie_break(df))
         key, bucket = F.col(station), _bucket(F.col(ts), unit)
 
         by_time = Window.partitionBy("_st").orderBy("_bk")
@@ -110,7 +120,8 @@ class Timeline:
             .withColumn("_core", F.col("_blk") == F.col("_b"))
             .drop("_st", "_bk", "_b", "_to")
         )
-        order = [F.col(ts).asc_nulls_last(), *tie]
+        undated = F.when(F.col(ts).isNull(), F.pmod("_tie", F.lit(_UNDATED_BUCKETS)))
+        order = [F.col(ts).asc_nulls_last(), undated, *tie, "_tie"]
         self.w = Window.partitionBy(station, "_blk").orderBy(*order)
         self.upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
 

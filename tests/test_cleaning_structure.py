@@ -152,4 +152,4 @@ def test_report_has_every_part(spark):
     assert got.overview.cleaned_rows == 5 and got.time_gaps.total_gaps == 2
     assert [g.duration_hours for g in got.longest_gaps] == [24.0, 4.0]
     text = profile.quality_report_markdown(report).first().markdown
-    assert "## 3. Time Gap Detection" in text and "24.0 hrs" in text
+    assert all(f"## {heading}\n" in text for heading in profile.SECTIONS) and "| longest | 24.0 h | 1.00 d |" in text

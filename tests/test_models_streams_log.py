@@ -156,3 +156,42 @@ def test_pages_newest_first(spark):
 def test_dedup_drops_rows_without_key(spark):
     log = log_rows(spark, [(1, 0, "UNCERTAIN", "LOW", "a"), (2, 1, "UNCERTAIN", "LOW", "a"), (3, 2, "UNCERTAIN", "LOW", None), (4, 3, "UNCERTAIN", "LOW", "")])
     assert [r.id for r in alerts.dedup_alerts(log).collect()] == [1]
+
+
+def test_undated_rows_survive_and_keys_keep_their_day(spark):
+    path = work_path(spark, "log")
+    undated = F.when(F.col("id") != 2, F.lit(None).cast("timestamp_ntz")).otherwise(F.col("timestamp"))
+    first = log_rows(spark, [(1, 0, "UNCERTAIN", "LOW", "k1"), (2, 5, "UNCERTAIN", "LOW", "k2")]).withColumn("timestamp", undated)
+    second = log_rows(spark, [(3, 0, "UNCERTAIN", "LOW", "k3")]).withColumn("timestamp", undated)
+    for part in (first, second, second):
+        alerts.upsert_table(spark, path, part)
+    assert sorted(r.alert_key for r in spark.read.parquet(path).collect()) == ["k1", "k2", "k3"]
+    key = "A|2015-03-01 10:00:00|temperature|x"
+    for hours in (0, 72):  # the key's time counts, not the column's
+        alerts.upsert_table(spark, path, log_rows(spark, [(9 + hours, hours, "UNCERTAIN", "LOW", key)]))
+    rows = spark.read.parquet(path).where(F.col("alert_key") == key).collect()
+    assert len(rows) == 1 and str(rows[0].log_day) == "2015-03-01"
+
+
+def test_page_past_the_end_and_keyset_pages(spark):
+    log = log_rows(spark, [(i, i // 2, "UNCERTAIN", "CRITICAL", f"k{i}") for i in range(13)])
+    past = alerts.alerts_page(log, 9, 10).collect()
+    assert len(past) == 1 and past[0].id is None and (past[0].total, past[0].total_pages) == (13, 2)
+    one = alerts.alerts_page(log, 1, 5).collect()
+    last = min(one, key=lambda r: (r.timestamp, r.id))
+    following = alerts.alerts_before(log, last.timestamp, last.id, 5)
+    assert sorted(r.id for r in following.collect()) == sorted(r.id for r in alerts.alerts_page(log, 2, 5).collect())
+
+
+def test_rank_buckets_spread_at_every_magnitude(spark):
+    from fieldwatch.ranks import bucket, quantiles
+
+    for low in (1e-9, 1e9, -1e-9):
+        df = spark.range(1, 2001).select((F.lit(low) * (1 + F.col("id") / 1000.0)).alias("v"))
+        assert df.select(bucket(F.col("v"))).distinct().count() == 2000
+    values = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 3.0, 3.0, -7.5, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = [r.b for r in df.select("v", bucket(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert ordered == sorted(ordered)
+    got = quantiles(df, [], "v", {"q": 0.5}).first()["q"]
+    assert got == sorted(values)[4] + (sorted(values)[5] - sorted(values)[4]) * 0.5

@@ -174,3 +174,14 @@ def test_printed_halves_follow_the_binary_value(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x double")
     got = [r[0] for r in df.select(F.format_string("%.1f", tie_even(F.col("x"), 1))).collect()]
     assert got == [f"{x:.1f}" for x in xs]
+
+
+def test_undated_rows_are_spread_over_blocks(spark):
+    from fieldwatch.timeline import Timeline
+
+    rows = spark.range(1000).selectExpr("'A' AS station_id", "cast(null AS timestamp_ntz) AS timestamp", "cast(id AS double) AS temperature")
+    tl = Timeline(rows, lookback=2)
+    blocks = {r["_blk"]: r["count"] for r in tl.df.where("_core").groupBy("_blk").count().collect()}
+    assert sum(blocks.values()) == 1000 and max(blocks.values()) <= 14 and len(blocks) > 70
+    got = tl.done(tl.df.withColumn("before", tl.lag("temperature")))
+    assert got.columns == [*rows.columns, "before"] and got.where("before IS NULL").count() == 1
