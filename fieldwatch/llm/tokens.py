@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,18 +16,34 @@ from pyspark.sql import functions as F
 from fieldwatch.session import work_path
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+#: Words of the small table.
+COMMON_WORDS = 16_000
 #: A text is cut before single spaces and around single line ends, each between other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: A point or comma that does not follow a letter or digit; without any, texts are also cut before those two.
+ODD_POINT = re.compile(r"[.,](?<![^\W_][.,])")
 _ENCODERS: dict = {}
 
 
+def _latin(text: str) -> bool:
+    """Whether a text stays the same under composition and has plain lower-case forms."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Ids of whole texts, equal to those of the tokenizer, as little-endian bytes.
 
     Both public vocabularies split a text before every single space and around every
-    single line end that stand between other characters, whatever follows; so the words
-    between are encoded once, remembered, and joined.  What a single space or line end
+    single line end that stand between other characters, whatever follows, and before
+    points and commas after a letter or digit; so the words between are encoded once,
+    remembered, and joined.  The vocabulary without white space also ignores case, so
+    there words are remembered in lower case where that is the same.  The commonest
+    words of a worker's first texts are kept in a small table that is asked first.  What a single space or line end
     gives between words is asked of the tokenizer itself: the byte-level vocabulary
     glues the space to the next word and gives the line end an id of its own, the other
     drops both.  Words that are new in a batch go to the tokenizer in one call.
@@ -40,6 +58,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.glued = self.plain(["a b"])[0] != self.plain(["a"])[0] + self.plain(["b"])[0]
         self.words: dict[str, bytes] = {}
+        self.common: dict[str, bytes] = {}
         self.mark = "\n" if self.glued else " | "
         self.mark_id = self.plain(["\n" if self.glued else "|"])[0]
 
@@ -48,11 +67,16 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         """Words in order; glued vocabularies keep the space before a word and line ends."""
+        apart = not ODD_POINT.search(text)
         if not self.glued:
-            return text.replace("\n", " ").split(" ")
+            if apart:
+                text = text.replace(".", " .").replace(",", " ,")
+            return (text.lower() if _latin(text) else text).replace("\n", " ").split(" ")
         odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
         if odd or not text.replace("\n", "").isprintable():
             return list(filter(None, CUT.split(text)))
+        if apart:
+            text = text.replace(".", "\0.").replace(",", "\0,")
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def _learn(self, new: list[str]) -> None:
@@ -70,27 +94,34 @@ class Encoder:
             flat = ids.tobytes()
             for word, a, b in zip(part, starts, [*ends.tolist(), len(ids)]):
                 self.words[word] = flat[4 * a : 4 * b]
-        hard = sorted(hard)
+        hard = list(hard)
         for word, ids in zip(hard, self.plain(hard)):
             self.words[word] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned little-endian 32-bit integers."""
+        cut = [self._cut(t) if t else [] for t in texts]
+        if not self.common and sum(map(len, cut)) >= 100_000:
+            often = Counter(itertools.chain.from_iterable(cut)).most_common(COMMON_WORDS)
+            self._learn([w for w, _ in often if w not in self.words])
+            self.common = {w: self.words[w] for w, _ in often}
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        get, found, missing = self.words.get, [], []
-        for t in texts:
-            cut = self._cut(t) if t else []
-            known = list(map(get, cut))
-            if None in known:
-                gaps = [k for k, ids in enumerate(known) if ids is None]
-                missing.append((known, gaps, [cut[k] for k in gaps]))
+        first, get, found, rare = self.common.get, self.words.get, [], []
+        for words in cut:
+            known = list(map(first, words))
+            gaps = [k for k, ids in enumerate(known) if ids is None]
             found.append(known)
-        if missing:
-            self._learn(sorted({w for _, _, words in missing for w in words}))
-            for known, gaps, words in missing:
-                for k, w in zip(gaps, words):
-                    known[k] = get(w)
+            rare.append((known, gaps, [words[k] for k in gaps]))
+        new = set()
+        for _, _, words in rare:
+            new.update(words)
+        new.difference_update(self.words)
+        if new:
+            self._learn(list(new))
+        for known, gaps, words in rare:
+            for k, ids in zip(gaps, map(get, words)):
+                known[k] = ids
         return [b"".join(known) for known in found]
 
 
