@@ -20,13 +20,13 @@ TREE_ROWS = 256
 NODE_SCHEMA = "tree int, node int, feature int, split double, size int, leaf boolean"
 
 
-def _tree_samples(train: DataFrame, columns: Sequence[str], trees: int, seed: int) -> DataFrame:
-    """At most 256 rows per tree, by hash order: the same rows for the same data and seed.
+def _tree_samples(train: DataFrame, columns: Sequence[str], trees: int, seed: int, max_samples: int) -> DataFrame:
+    """At most `max_samples` rows per tree, by hash order: the same rows for the same data and seed.
 
-    Large data: rows are first thinned to about four samples' worth by a hash test, each
-    going to one tree.  Small data: each row goes to several trees, never twice to one.
+    One rule at every size: about four samples' worth of (row, tree) pairs are drawn by
+    hash, a row never twice for one tree, and each tree keeps its first ones.
     """
-    wanted = 4 * TREE_ROWS * trees
+    wanted = 4 * max_samples * trees
     key = F.xxhash64(*columns, "station_id", "timestamp", F.lit(seed))
     rows = train.crossJoin(F.broadcast(train.agg(F.count(F.lit(1)).alias("_total"))))  # one row
     rows = rows.withColumn("_key", key)
@@ -41,7 +41,7 @@ def _tree_samples(train: DataFrame, columns: Sequence[str], trees: int, seed: in
     w = Window.partitionBy("tree").orderBy("_order", "_key")
     return (
         spread.withColumn("_rank", F.row_number().over(w))
-        .where(F.col("_rank") <= TREE_ROWS)
+        .where(F.col("_rank") <= max_samples)
         .select("tree", *columns)
     )
 
@@ -68,11 +68,15 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def fit_forest(
-    train: DataFrame, columns: Sequence[str] = FEATURES, trees: int = 100, seed: int = 42
+    train: DataFrame, columns: Sequence[str] = FEATURES, trees: int = 100, seed: int = 42, max_samples: int = TREE_ROWS
 ) -> DataFrame:
-    """The forest as a node table.  Rows with a missing feature take no part."""
+    """The forest as a node table.  Rows with a missing feature take no part.
+
+    max_samples: rows a tree is grown on at most; the published algorithm needs few, and
+    256 is its usual value.  A tree has at most 2 * max_samples - 1 nodes.
+    """
     columns = list(columns)
-    limit = int(np.ceil(np.log2(TREE_ROWS)))
+    limit = int(np.ceil(np.log2(max_samples)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -83,7 +87,7 @@ def fit_forest(
         out.insert(0, "tree", tree)
         return out
 
-    sample = _tree_samples(train.dropna(subset=columns), columns, trees, seed)
+    sample = _tree_samples(train.dropna(subset=columns), columns, trees, seed, max_samples)
     return sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
@@ -105,7 +109,7 @@ def score_forest(df: DataFrame, forest: DataFrame, columns: Sequence[str] = FEAT
     columns = list(columns)
     nodes = forest.toPandas()
     trees = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
-    width = 2 ** (int(np.ceil(np.log2(TREE_ROWS))) + 1) - 1
+    width = 2 ** int(np.ceil(np.log2(nodes["node"].max() + 2))) - 1
     feature = np.full((len(trees), width), -1, dtype=np.int32)
     split = np.zeros((len(trees), width))
     length = np.zeros((len(trees), width))

@@ -283,17 +283,18 @@ def normalize_payload(spark, d):
 @cat.query(
     with_sql(
         KEY_SQL,
-        body="""SELECT key AS alert_key, arg_max(id, CASE WHEN event_type = 'view' THEN 1 ELSE 0 END * 1000000000000 + id) AS id
-FROM (SELECT * EXCLUDE key, station_id || '|' || kp AS key FROM log WHERE event_type IN ('click', 'view')) GROUP BY key""",
+        BROKEN_KEY,
+        body="""SELECT key AS alert_key, arg_max(id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END * 1000000000000 + id) AS id
+FROM (SELECT * EXCLUDE key, station_id || '|' || string_split(fkey, '|')[3] AS key FROM fixed) GROUP BY key""",
     )
 )
 def merge_prefer_new(spark, d):
-    """Clicks are the rows at hand, views the fetched ones; merged by station and parameter."""
+    """Clicks are the rows at hand, all others the fetched ones; merged by station and parameter."""
     rows = alerts.with_alert_keys(log(spark, d)).withColumn(
         "alert_key", F.concat_ws("|", "station_id", "parameter")
     )
-    old = rows.where("classification = 'LIKELY_SENSOR_DATA_FAULT'")
-    new = rows.where("classification = 'LIKELY_GENUINE_WEATHER_EVENT'")
+    at_hand = F.col("classification") == "LIKELY_SENSOR_DATA_FAULT"
+    old, new = rows.where(at_hand), rows.where(~at_hand)
     return alerts.merge_prefer_new(old, new).select("alert_key", "id")
 
 

@@ -134,7 +134,7 @@ def standard_scale(spark, d):
         *features_sql("dense"),
         SPLIT.format("feat"),
         FIT,
-        "z AS (" + " UNION ALL ".join(f"""SELECT station_id, "timestamp", '{f}' AS feature, {z(f)} AS z FROM split, fit WHERE temperature > -5""" for f in FEATURES) + ")",
+        "z AS (" + " UNION ALL ".join(f"""SELECT station_id, "timestamp", '{f}' AS feature, {z(f)} AS z FROM split, fit""" for f in FEATURES) + ")",
         body="""SELECT * FROM (SELECT station_id, "timestamp", CAST(row_number() OVER (PARTITION BY station_id, "timestamp"
   ORDER BY abs(z) DESC, feature) AS INTEGER) AS rank, feature, round(z, 6) + 0 AS z FROM z) WHERE rank <= 10""",
     )
@@ -142,7 +142,7 @@ def standard_scale(spark, d):
 def feature_attribution_topk(spark, d):
     rows = split_features(spark, d)
     scaler = features.fit_scaler(rows.where("split = 'train'"), FEATURES)
-    return r6(features.attribution_topk(rows.where("temperature > -5"), scaler), ["z"])
+    return r6(features.attribution_topk(rows, scaler), ["z"])
 
 
 @cat.query(

@@ -9,7 +9,7 @@ from fieldwatch.operators.qc import quality_control
 from fieldwatch.plans.catalog import Catalog
 from fieldwatch.plans.driver_views import clean_sparse, dense, sparse, stations, table
 from fieldwatch.plans.sqltext import DENSE, QC_COLUMNS, SPARSE, STATIONS, service_ctes, sql
-from fieldwatch.session import work_path
+from fieldwatch.session import cut, work_path
 from fieldwatch.sources import tables
 
 cat = Catalog()
@@ -48,7 +48,7 @@ def read_obs_csv(spark, d):
 @cat.query()
 def source_manifest(spark, d):
     """Checksums of the given tables' files, compared with a second reading."""
-    first, second = (tables.source_manifest(spark, d) for _ in range(2))
+    first, second = cut(tables.source_manifest(spark, d), "manifest"), tables.source_manifest(spark, d)
     status = tables.compare_manifests(first.drop("modified"), second.drop("modified"))
     return (
         first.join(status, "path")
@@ -68,7 +68,7 @@ def read_obs_parquet(spark, d):
 def write_clean_parquet(spark, d):
     path = work_path(spark, "clean")
     tables.write_clean_parquet(clean_sparse(spark, d).drop("station_no"), path)
-    return tables.read_obs_parquet(spark, path)
+    return tables.read_obs_parquet(spark, path).drop("day")
 
 
 @cat.query(sql(*service_ctes("sparse"), body=f"SELECT {QC_COLUMNS} FROM qc"))
