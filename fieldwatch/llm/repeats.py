@@ -28,6 +28,8 @@ from fieldwatch.llm.tokens import portions
 GROUP_BYTES = 8_000_000
 #: Bits of an owner's hash that name its group inside a bucket.
 OWNER_BITS = np.uint64(40)
+#: Differing runs of one owner that are sorted together; larger groups are split by their whole windows.
+GROUP_RUNS = 50_000
 COVERED, ASKED, COMPARED = 0, 1, 2
 
 
@@ -87,7 +89,8 @@ def _unplanes(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
-COLUMNS = (("owner", "<u8", 5), ("cover", "<u8", 8), ("doc", "<i8", 8), ("lo", "<i8", 5), ("n", "<i8", 2))
+#: Packed columns: kind in memory and bytes that are kept of it.
+COLUMNS = (("owner", "<u8", 5), ("cover", "<u8", 8), ("doc", "<i8", 8), ("lo", "<i8", 5), ("n", "<i8", 2), ("many", "<i8", 1))
 
 
 def _pack(columns) -> bytes:
@@ -103,8 +106,35 @@ def _unpack(blob: bytes, n: int):
     return out
 
 
+def combined(owner, cover, doc, lo, n, first_stays: bool):
+    """What a portion of documents can tell by itself, before anything is shuffled.
+
+    Returns the records that still have to meet others, and those known to be repeated.
+    Of runs with equal symbols only the smallest document's go on (or one of them, marked
+    `many`, where the first does not stay), so a passage that a third of all documents
+    share costs a few records for each portion.
+    """
+    order = np.lexsort((lo, doc, cover, owner))
+    owner, cover, doc, lo, n = (x[order] for x in (owner, cover, doc, lo, n))
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (cover[1:] != cover[:-1])))
+    head = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    sizes = np.diff(np.concatenate((head, [len(owner)])))
+    many = (sizes > 1)[of].astype(np.int64)
+    if first_stays:
+        known = doc > doc[head][of]
+        go, many = ~known, np.zeros_like(many)
+    else:
+        known, go = many > 0, new
+    columns = (owner, cover, doc, lo, n, many)
+    return [c[go] for c in columns], [c[known] for c in columns]
+
+
 def records(docs: DataFrame, rule: Windows, buckets: int) -> DataFrame:
-    """bucket, n, blob: the runs of each portion of documents, packed by bucket of their owner."""
+    """bucket, n, known, blob: the runs of each portion of documents, packed by bucket of their owner.
+
+    Runs known to be repeated only pass through, in a bucket that follows from the portion.
+    """
 
     def run(batches):
         for batch in batches:
@@ -114,25 +144,22 @@ def records(docs: DataFrame, rule: Windows, buckets: int) -> DataFrame:
                 owner, cover, text, lo, n = runs(values, begins, ends, rule)
                 if not len(owner):
                     continue
-                bucket = (owner >> OWNER_BITS).astype(np.int64) % buckets
+                open_, known = combined(owner, cover, ids[a:b][text], lo, n, rule.first_stays)
+                bucket = (open_[0] >> OWNER_BITS).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
-                owner = owner & np.uint64((1 << 40) - 1)
-                columns = [x[order] for x in (owner, cover, ids[a:b][text], lo, n)]
-                bucket = bucket[order]
+                open_[0] = open_[0] & np.uint64((1 << 40) - 1)
+                columns, bucket = [x[order] for x in open_], bucket[order]
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(bucket[cut[:-1]]),
-                        pa.array(np.diff(cut)),
-                        pa.array([_pack([c[x:y] for c in columns]) for x, y in zip(cut, cut[1:])], pa.binary()),
-                    ],
-                    ["bucket", "n", "blob"],
-                )
+                rows = [(int(bucket[x]), int(y - x), False, _pack([c[x:y] for c in columns])) for x, y in zip(cut, cut[1:])]
+                if len(known[0]):
+                    rows.append((int(owner[0] % np.uint64(buckets)), len(known[0]), True, _pack(known)))
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "n", "known", "blob"])
 
-    return docs.mapInArrow(run, "bucket long, n long, blob binary")
+    return docs.mapInArrow(run, "bucket long, n long, known boolean, blob binary")
 
 
-def judge(owner, cover, doc, lo, n, first_stays: bool):
+def judge(owner, cover, doc, many, first_stays: bool):
     """Of records sorted by (owner, cover, doc): which are repeated, and which must be compared."""
     same_owner = np.concatenate(([False], owner[1:] == owner[:-1]))
     same_cover = same_owner & np.concatenate(([False], cover[1:] == cover[:-1]))
@@ -141,14 +168,15 @@ def judge(owner, cover, doc, lo, n, first_stays: bool):
     sizes = np.diff(np.concatenate((heads, [len(owner)])))
     group_of = np.cumsum(~same_owner) - 1
     kinds = np.bincount(group_of[heads], minlength=group_of[-1] + 1 if len(owner) else 0)
-    repeated = doc > doc[heads][kind_of] if first_stays else sizes[kind_of] > 1
+    twice = (sizes > 1) | (np.maximum.reduceat(many, heads) > 0) if len(heads) else sizes > 1
+    repeated = doc > doc[heads][kind_of] if first_stays else twice[kind_of]
     differs = kinds[group_of] > 1
     what = np.full(len(owner), -1, np.int64)
     what[differs & ~repeated] = ASKED
     what[repeated] = COVERED
     partner = np.zeros(0, np.int64)
     if not first_stays:  # one of a repeated kind stands for it in the comparison
-        partner = heads[(sizes > 1) & (kinds[group_of[heads]] > 1)]
+        partner = heads[twice & (kinds[group_of[heads]] > 1)]
     return what, partner
 
 
@@ -156,23 +184,27 @@ def spans_of_groups(packed: DataFrame, rule: Windows) -> DataFrame:
     """doc, lo, n, what, owner: runs known to be repeated, and runs to compare by symbols."""
 
     def solve(key, group):
-        parts = [_unpack(blob, n) for blob, n in zip(group["blob"], group["n"])]
-        owner, cover, doc, lo, n = (np.concatenate(c) for c in zip(*parts))
+        parts = [(known, _unpack(blob, n)) for blob, n, known in zip(group["blob"], group["n"], group["known"])]
+        none = [np.zeros(0, kind) for _, kind, _ in COLUMNS]
+        owner, cover, doc, lo, n, many = (np.concatenate(c) for c in zip(none, *[p for known, p in parts if not known]))
+        sure = [np.concatenate(c) for c in zip(none, *[p for known, p in parts if known])]
         # Most owners stand alone; they are set aside before the full sort.
         order = np.argsort(owner, kind="stable")
         own = owner[order]
-        twin = np.concatenate(([False], own[1:] == own[:-1]))
+        twin = np.concatenate(([False], own[1:] == own[:-1]))[: len(own)]
         twin[:-1] |= twin[1:].copy()
         order = order[twin]
-        owner, cover, doc, lo, n = (x[order] for x in (owner, cover, doc, lo, n))
+        owner, cover, doc, lo, n, many = (x[order] for x in (owner, cover, doc, lo, n, many))
         order = np.lexsort((lo, doc, cover, owner))
-        owner, cover, doc, lo, n = (x[order] for x in (owner, cover, doc, lo, n))
-        what, partner = judge(owner, cover, doc, lo, n, rule.first_stays)
+        owner, cover, doc, lo, n, many = (x[order] for x in (owner, cover, doc, lo, n, many))
+        what, partner = judge(owner, cover, doc, many, rule.first_stays)
         at = np.flatnonzero(what >= 0)
         pick = np.concatenate((at, partner))
-        kind = np.concatenate((what[at], np.full(len(partner), COMPARED)))
+        kind = np.concatenate((what[at], np.full(len(partner), COMPARED), np.full(len(sure[0]), COVERED)))
         group_id = (np.int64(key[0]) << np.int64(40)) | owner[pick].astype(np.int64)
-        return pd.DataFrame({"doc": doc[pick], "lo": lo[pick], "n": n[pick], "what": kind, "owner": group_id})
+        return pd.DataFrame(
+            {"doc": np.concatenate((doc[pick], sure[2])), "lo": np.concatenate((lo[pick], sure[3])), "n": np.concatenate((n[pick], sure[4])), "what": kind, "owner": np.concatenate((group_id, np.zeros(len(sure[0]), np.int64)))}
+        )
 
     return packed.groupBy("bucket").applyInPandas(solve, "doc long, lo long, n long, what long, owner long")
 
@@ -206,6 +238,31 @@ def contents(docs: DataFrame, open_runs: DataFrame, rule: Windows) -> DataFrame:
     return joined.mapInArrow(fetch, "owner long, doc long, lo long, n long, what long, content binary")
 
 
+def split_groups(asked: DataFrame, rule: Windows) -> DataFrame:
+    """Repeated windows of groups too large to be sorted together: doc, lo, n.
+
+    The prefix that splits suffixes is lengthened to the whole window: each window is a
+    row with its 128-bit hash, counted by partial aggregates and joined back, so a window
+    that stands in a third of all documents is split like any hot key.
+    """
+
+    def explode(batches):
+        for batch in batches:
+            docs, los, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "lo", "what"))
+            for k, content in enumerate(batch.column("content").to_pylist()):
+                values = arrays.BYTES[np.frombuffer(content, np.uint8)] if rule.unit == "byte" else np.frombuffer(content, "<u8")
+                at = np.arange(len(values) - rule.size + 1)
+                one, two = (arrays.window_hashes(arrays.prefix_sums(v), at, at + rule.size).view(np.int64) for v in (values, arrays.mixed(values)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one), pa.array(two), pa.array(np.full(len(at), docs[k])), pa.array(los[k] + at), pa.array(np.full(len(at), asks[k] == ASKED))], ["h1", "h2", "doc", "lo", "asked"]
+                )
+
+    windows = stored(asked.select("doc", "lo", "what", "content").mapInArrow(explode, "h1 long, h2 long, doc long, lo long, asked boolean"), "hot-windows")
+    seen = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("doc").alias("first"))
+    hit = F.col("first") < F.col("doc") if rule.first_stays else F.col("times") > 1
+    return windows.where("asked").join(seen, ["h1", "h2"]).where(hit).select("doc", "lo", F.lit(1).cast("long").alias("n"))
+
+
 def repeated_spans(docs: DataFrame, rule: Windows, compare, id_col: str, text_col: str) -> DataFrame:
     """doc, spans: places (lo, n) of repeated windows, n consecutive ones from lo on.
 
@@ -225,9 +282,15 @@ def repeated_spans(docs: DataFrame, rule: Windows, compare, id_col: str, text_co
         )
         return pd.DataFrame({"doc": doc, "lo": lo, "n": n})
 
+    large = stored(found.where(F.col("what") > COVERED).groupBy("owner").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > GROUP_RUNS).select("owner"), "large-groups")
+    every = found.where(F.col("what") == COVERED).select("doc", "lo", "n")
+    if not large.isEmpty():
+        asked = stored(asked.join(large.withColumn("large", F.lit(True)), "owner", "left"), "contents")
+        every = every.unionByName(split_groups(asked.where("large"), rule))
+        asked = asked.where("large IS NULL")
     dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(4 * buckets)))
     more = dealt.groupBy("bucket").applyInPandas(solve, "doc long, lo long, n long")
-    every = found.where(F.col("what") == COVERED).select("doc", "lo", "n").unionByName(more)
+    every = every.unionByName(more)
     return every.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
 

@@ -59,18 +59,20 @@ def brute_bytes(docs, size):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words_of_earlier_documents(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, most", [(1, 50_000), (2, 3)])
+def test_words_of_earlier_documents(spark, seed, most, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(repeats, "GROUP_RUNS", most)
     docs = list(enumerate(texts(seed)))
     df = spark.createDataFrame([(k, t, "c") for k, t in docs], "doc_id long, text string, kept string").repartition(3)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in suffix_tree.dedup_substrings(df, 6, 3).collect()}
     assert got == brute_words(docs, 6)
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_bytes_that_stand_elsewhere(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed, most", [(3, 50_000), (4, 3)])
+def test_bytes_that_stand_elsewhere(spark, seed, most, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(repeats, "GROUP_RUNS", most)
     docs = list(enumerate(texts(seed)))
     df = spark.createDataFrame([(k, t, "c") for k, t in docs], "doc_id long, text string, spans string").repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_array.dedup_bytes(df, 24, 9).collect()}
