@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, FEATURES
 from fieldwatch.operators import forest, sequences
+from fieldwatch.operators.cleaning import split_by_fraction
 from fieldwatch.operators.features import fit_scaler, scale
+from fieldwatch.operators.qc import quality_control
 from fieldwatch.operators.reconstruction import fit_reconstruction, reconstruction_errors, scaled_windows
 from fieldwatch.plans.catalog import Catalog
 from fieldwatch.plans.driver_views import dense
+from fieldwatch.plans.sqltext import DENSE, sql
 from fieldwatch.plans.q_features import split_features
 from fieldwatch.session import cut, work_path
 from fieldwatch.sources.models import load_model, save_model
@@ -51,25 +54,29 @@ def iforest_score(spark, d):
     return out.select(*KEYS, "split", "decision_score", "prediction", "anomaly_flag", "anomaly_score")
 
 
-def windows_of(spark, d):
-    rows = dense(spark, d)
-    scaler = cut(fit_scaler(rows, CHANNELS), "scaler")
-    return cut(scaled_windows(sequences.sequence_windows(rows), scaler), "windows")
-
-
 @cat.query()
 def reconstruction_errors_query(spark, d):
-    windows = windows_of(spark, d)
-    model = fit_reconstruction(windows)
-    return reconstruction_errors(windows, model)
+    """Scaler and components come from clean windows of the training rows; all windows are scored."""
+    checked = quality_control(dense(spark, d).select(*KEYS, *CHANNELS)).select(*KEYS, *CHANNELS, (F.col("qc_flag") != "PASSED").alias("flagged"))
+    rows = cut(split_by_fraction(checked), "sequence-rows")
+    train = rows.where("split = 'train'")
+    # Clean training windows; on tables too small to have one, the next larger choice.
+    choices = ((train.where("NOT flagged"), train, "flagged"), (train, train, None), (rows, rows, None))
+    for fitted_on, source, flag in choices:
+        windows = cut(sequences.sequence_windows(source, clean_flag=flag), "windows")
+        if not windows.isEmpty():
+            break
+    scaler = fit_scaler(fitted_on, CHANNELS)
+    model = fit_reconstruction(cut(scaled_windows(windows, scaler), "windows"))
+    return reconstruction_errors(scaled_windows(sequences.sequence_windows(rows), scaler), model)
 
 
 cat.queries["reconstruction_errors"] = cat.queries.pop("reconstruction_errors_query")
 
 
-@cat.query()
+@cat.query(sql(DENSE, body='SELECT station_id, "timestamp", true AS same FROM dense'))
 def model_tables_save_load(spark, d):
-    """Save every part, load it again, score again: `same` tells whether the scores agree."""
+    """Save every part, load it again, score again: the scores must agree on every row."""
     path = work_path(spark, "model")
     out, (scaler, nodes, offset, bounds) = scored(spark, d)
     save_model({"scaler": scaler, "nodes": nodes, "offset": offset, "bounds": bounds}, path)
@@ -78,4 +85,38 @@ def model_tables_save_load(spark, d):
     again = forest.decide(forest.score_forest(rows, parts["nodes"], Z), parts["offset"])
     again = forest.normalize_scores(again, parts["bounds"], "decision_score", "second")
     both = out.select(*KEYS, "anomaly_score").join(again.select(*KEYS, "second"), KEYS)
-    return both.withColumn("same", F.abs(F.col("anomaly_score") - F.col("second")) < 1e-9)
+    near = F.abs(F.col("anomaly_score") - F.col("second")) < 1e-9
+    missing = F.col("anomaly_score").isNull() & F.col("second").isNull()
+    return both.select(*KEYS, F.coalesce(near, missing).alias("same"))
+
+
+# A small forest, written out, so that its paths can be walked in SQL: (tree, node, feature, split, size, leaf).
+FIXED_FOREST = (
+    (0, 0, 0, -15.0, 256, False),
+    (0, 1, 1, 60.0, 100, False),
+    (0, 2, -1, 0.0, 156, True),
+    (0, 3, -1, 0.0, 1, True),
+    (0, 4, -1, 0.0, 99, True),
+    (1, 0, 1, 45.0, 256, False),
+    (1, 1, -1, 0.0, 6, True),
+    (1, 2, -1, 0.0, 250, True),
+)
+
+
+def _mean_path(n):
+    return f"(2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n})"
+
+
+@cat.query(
+    sql(
+        DENSE,
+        body=f"""SELECT station_id, "timestamp", round(-pow(2, -((a + b) / 2) / {_mean_path(256)}), 9) AS raw_score FROM (
+  SELECT *, CASE WHEN temperature <= -15 THEN CASE WHEN humidity <= 60 THEN 2.0::DOUBLE ELSE 2 + {_mean_path(99)} END ELSE 1 + {_mean_path(156)} END AS a,
+    CASE WHEN humidity <= 45 THEN 1 + {_mean_path(6)} ELSE 1 + {_mean_path(250)} END AS b FROM dense)""",
+    )
+)
+def iforest_score_fixed(spark, d):
+    """Scores of a written-out forest: the path lengths checked without a fit."""
+    nodes = spark.createDataFrame(FIXED_FOREST, forest.NODE_SCHEMA)
+    out = forest.score_forest(dense(spark, d), nodes, ("temperature", "humidity"))
+    return out.select(*KEYS, F.round("raw_score", 9).alias("raw_score"))
