@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldwatch.llm.common import WORD, stored
 
 #: Documents of one (source, size) cell are ranked in buckets of about this many rows.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 512
 
 
 def water_fill(sources: DataFrame, weights=(3, 1, 2), total_share: float = 1.5, cap: float = 2.0) -> DataFrame:

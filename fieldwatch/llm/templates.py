@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.llm.common import SPACES, stored
+from fieldwatch.llm.common import stored
 
 #: Leading tokens that pick a leaf, documents a template must recur in, constant share of its tokens.
 DEPTH, LEAST_DOCS, CONSTANT_SHARE = 2, 5, 0.8
@@ -14,13 +14,17 @@ ANY = "<*>"
 
 def line_form(line):
     """A line with single spaces, none at its ends, and every token that holds a digit as a wildcard."""
-    spaced = F.trim(F.regexp_replace(line, SPACES, " "))
-    return F.regexp_replace(spaced, "[^ ]*[0-9][^ ]*", ANY)
+    flat = F.translate(line, "\t\x0b\x0c\r", "    ")
+    spaced = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
+    # A token without a digit is passed over once; lines without one need no replacement.
+    masked = F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", ANY)
+    return F.when(spaced.rlike("[0-9]"), masked).otherwise(spaced)
 
 
-def _leaf(tokens, depth):
+def _leaf(form, depth):
     """Leaf of the tree: number of tokens, then the leading tokens."""
-    return F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, depth))
+    spaces = F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit("")))
+    return F.xxhash64(spaces, F.substring_index(form, " ", depth))
 
 
 def text_of(id_col, text_col):
@@ -40,12 +44,12 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DE
     """
     form = F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), line_form)))
     lines = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), form.alias("form")).where("form <> ''")
-    lines = lines.withColumn("leaf", F.xxhash64(_leaf(F.split("form", " "), depth)))
+    lines = lines.withColumn("leaf", _leaf(F.col("form"), depth))
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     kept = lines.join(busy, "leaf", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
     kept = stored(kept.withColumn("id", F.xxhash64("form")), "line-forms")
     tokens = kept.select(
-        "id", "docs", F.xxhash64(_leaf(F.split("form", " "), depth)).alias("leaf"), F.posexplode(F.split("form", " ")).alias("pos", "token")
+        "id", "docs", _leaf(F.col("form"), depth).alias("leaf"), F.posexplode(F.split("form", " ")).alias("pos", "token")
     )
     constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= least_docs).drop("n").withColumn("fixed", F.lit(True))
     # A form in that many documents has constant tokens only, hence is its own template.
