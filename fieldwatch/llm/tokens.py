@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fieldwatch.session import work_path
 
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 #: Words of the small table.
 COMMON_WORDS = 16_000
 #: A text is cut before single spaces and around single line ends, each between other characters.
