@@ -139,7 +139,7 @@ def records(docs: DataFrame, rule: Windows, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in portions(texts, 1_500_000):
+            for a, b in portions(texts, 800_000):
                 values, begins, ends = symbols([t.encode("utf-8", "replace") for t in texts[a:b]], rule.unit)
                 owner, cover, text, lo, n = runs(values, begins, ends, rule)
                 if not len(owner):
@@ -288,7 +288,7 @@ def repeated_spans(docs: DataFrame, rule: Windows, compare, id_col: str, text_co
         asked = stored(asked.join(large.withColumn("large", F.lit(True)), "owner", "left"), "contents")
         every = every.unionByName(split_groups(asked.where("large"), rule))
         asked = asked.where("large IS NULL")
-    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(4 * buckets)))
+    dealt = asked.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(8 * buckets)))
     more = dealt.groupBy("bucket").applyInPandas(solve, "doc long, lo long, n long")
     every = every.unionByName(more)
     return every.groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
