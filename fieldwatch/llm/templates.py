@@ -12,13 +12,21 @@ DEPTH, LEAST_DOCS, CONSTANT_SHARE = 2, 5, 0.8
 ANY = "<*>"
 
 
-def line_form(line):
-    """A line with single spaces, none at its ends, and every token that holds a digit as a wildcard."""
-    flat = F.translate(line, "\t\x0b\x0c\r", "    ")
-    spaced = F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " +", " ")).otherwise(flat))
-    # A token without a digit is passed over once; lines without one need no replacement.
-    masked = F.regexp_replace(spaced, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", ANY)
-    return F.when(spaced.rlike("[0-9]"), masked).otherwise(spaced)
+def with_forms(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds `forms`: every line with single spaces, none at its ends, and each token that
+    holds a digit as a wildcard.
+
+    The rules run over the whole text, in generated code, and only where a text has
+    something to change; the text then splits into as many forms as it has lines.
+    """
+    text = F.col(text_col)
+    odd = text.rlike("[\\x09\\x0B-\\x0D]|  ")
+    df = docs.withColumn("_t1", F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text))
+    edges = F.contains("_t1", F.lit(" \n")) | F.contains("_t1", F.lit("\n "))
+    df = df.withColumn("_t2", F.trim(F.when(edges, F.regexp_replace("_t1", " ?\n ?", "\n")).otherwise(F.col("_t1"))))
+    masked = F.regexp_replace("_t2", "(?<![^ \n])[^ \n0-9]*[0-9][^ \n]*", ANY)
+    df = df.withColumn("_t3", F.when(F.col("_t2").rlike("[0-9]"), masked).otherwise(F.col("_t2")))
+    return df.withColumn("forms", F.split("_t3", "\n")).drop("_t1", "_t2", "_t3")
 
 
 def _leaf(form, depth):
@@ -42,8 +50,8 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DE
     own template.  A template recurs if its lines stand in `least_docs` documents or
     more, each distinct line counted once per document.
     """
-    form = F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), line_form)))
-    lines = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), form.alias("form")).where("form <> ''")
+    told = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = with_forms(told, "text").select("doc", F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''")
     lines = lines.withColumn("leaf", _leaf(F.col("form"), depth))
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     kept = lines.join(busy, "leaf", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
@@ -85,23 +93,24 @@ def dedup_lines(
     """
     recurring = recurring_lines(docs, id_col, text_col, depth, least_docs, share)
     recurring = stored(recurring.select(F.unhex(F.md5("form")).alias("form_hash"), F.col("first.hash").alias("first_hash")), "recurring-lines")
-    lines = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("line_doc"), F.unhex(F.md5(text_col)).alias("hash"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.unhex(F.md5(line_form(x)))))).alias("form_hash")
-    )
+    told = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_doc"), F.unhex(F.md5(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    lines = with_forms(told, "text").select("line_doc", "hash", F.explode(F.array_distinct("forms")).alias("form"))
+    lines = lines.where("form <> ''").select("line_doc", "hash", F.unhex(F.md5("form")).alias("form_hash"))
     dropped = lines.join(recurring, "form_hash").where("hash <> first_hash")
     by_doc = dropped.groupBy("line_doc").agg(F.collect_set("form_hash").alias("gone_forms"))
-    text = F.split(F.col(text_col), "\n")
-    stay = F.filter(text, lambda x: ~F.array_contains(F.col("gone_forms"), F.unhex(F.md5(line_form(x)))))
     joined = docs.join(by_doc, docs[id_col].eqNullSafe(F.col("line_doc")), "left")
-    changed = F.when(F.col("gone_forms").isNull(), text).otherwise(stay)
-    n = F.coalesce(F.size(text), F.lit(0)).cast("long")
-    out = joined.withColumn("kept_lines", changed)
-    left = F.coalesce(F.size("kept_lines"), F.lit(0)).cast("long")
-    cleaned = {c: docs[c] for c in docs.columns if c != text_col}
-    return out.select(
-        *[F.array_join("kept_lines", "\n").alias(text_col) if c == text_col else cleaned[c] for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n - left).cast("long").alias("n_removed"),
+    # Only texts that lose a line are taken apart again.
+    cut = with_forms(joined.withColumn("_cut", F.when(F.col("gone_forms").isNotNull(), F.col(text_col))), "_cut")
+    gone = F.transform("forms", lambda x: F.array_contains(F.col("gone_forms"), F.unhex(F.md5(x))))
+    cut = cut.withColumn("_gone", gone).withColumn("_lines", F.split("_cut", "\n"))
+    stay = F.array_join(F.filter("_lines", lambda x, i: ~F.element_at("_gone", i + 1)), "\n")
+    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(stay).alias(text_col)
+    ends = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    removed = F.size(F.filter("_gone", lambda x: x))
+    return cut.select(
+        *[text if c == text_col else docs[c] for c in docs.columns],
+        F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("_cut").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
     )
 
 
