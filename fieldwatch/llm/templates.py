@@ -20,7 +20,9 @@ def with_forms(docs: DataFrame, text_col: str) -> DataFrame:
     something to change; the text then splits into as many forms as it has lines.
     """
     text = F.col(text_col)
-    odd = text.rlike("[\\x09\\x0B-\\x0D]|  ")
+    odd = F.contains(text, F.lit("  "))
+    for sign in "\t\r\x0b\x0c":
+        odd = odd | F.contains(text, F.lit(sign))
     df = docs.withColumn("_t1", F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text))
     edges = F.contains("_t1", F.lit(" \n")) | F.contains("_t1", F.lit("\n "))
     df = df.withColumn("_t2", F.trim(F.when(edges, F.regexp_replace("_t1", " ?\n ?", "\n")).otherwise(F.col("_t1"))))
@@ -40,7 +42,14 @@ def text_of(id_col, text_col):
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.unhex(F.md5(text_col)).alias("hash"))
 
 
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH, least_docs: int = LEAST_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DEPTH) -> DataFrame:
+    """doc, form_hash, leaf: each distinct line form of each document, without its text."""
+    told = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
+    lines = with_forms(told, "text").select("doc", F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''")
+    return lines.select("doc", F.unhex(F.md5("form")).alias("form_hash"), _leaf(F.col("form"), depth).alias("leaf"))
+
+
+def recurring_lines(docs: DataFrame, hashed: DataFrame, id_col: str, text_col: str, depth: int = DEPTH, least_docs: int = LEAST_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
     """form, first: line forms whose template recurs; the first document that has it and its text's hash.
 
     Fixed-depth parsing sends a line form to the leaf of its token count and leading
@@ -53,7 +62,7 @@ def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int = DE
     told = docs.where(F.col(text_col).isNotNull()).select(text_of(id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     lines = with_forms(told, "text").select("doc", F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''")
     lines = lines.withColumn("leaf", _leaf(F.col("form"), depth))
-    busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    busy = hashed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
     kept = lines.join(busy, "leaf", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
     kept = stored(kept.withColumn("id", F.xxhash64("form")), "line-forms")
     tokens = kept.select(
@@ -91,11 +100,10 @@ def dedup_lines(
     the last in order; rows that repeat an id count as one document each, and a row
     loses what its id's rows lose; other columns pass through.
     """
-    recurring = recurring_lines(docs, id_col, text_col, depth, least_docs, share)
+    hashed = stored(hashed_lines(docs, id_col, text_col, depth), "line-hashes")
+    recurring = recurring_lines(docs, hashed, id_col, text_col, depth, least_docs, share)
     recurring = stored(recurring.select(F.unhex(F.md5("form")).alias("form_hash"), F.col("first.hash").alias("first_hash")), "recurring-lines")
-    told = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("line_doc"), F.unhex(F.md5(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    lines = with_forms(told, "text").select("line_doc", "hash", F.explode(F.array_distinct("forms")).alias("form"))
-    lines = lines.where("form <> ''").select("line_doc", "hash", F.unhex(F.md5("form")).alias("form_hash"))
+    lines = hashed.select(F.col("doc.id").alias("line_doc"), F.col("doc.hash").alias("hash"), "form_hash")
     dropped = lines.join(recurring, "form_hash").where("hash <> first_hash")
     by_doc = dropped.groupBy("line_doc").agg(F.collect_set("form_hash").alias("gone_forms"))
     joined = docs.join(by_doc, docs[id_col].eqNullSafe(F.col("line_doc")), "left")
