@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import mixing, packing, simhash, templates, toxicity
+from fieldwatch.llm import mixing, near_copies, packing, templates, toxicity
 from fieldwatch.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,8 +37,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word fingerprints agree in 61 of 64 bits or more, one stays."""
-    return simhash.drop_near_duplicates(docs.select(*COLUMNS), shingle=5, most_bits=3)
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, one stays."""
+    return near_copies.drop_near_copies(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

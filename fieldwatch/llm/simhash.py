@@ -17,26 +17,35 @@ SHARD_ROWS, MOST_SHARDS, SAMPLE_PER_SHARD = 16_384, 4096, 64
 LEAF = 384
 
 
-def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
-    """Bit i is set where over half of the word shingles' hashes have it set."""
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of so many words, repeats included; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "replace").translate(LOWER).split()
     if not words:
-        return 0
-    if len(words) < shingle:
-        return xxh64_intdigest(b" ".join(words), seed)
+        return np.zeros(0, "<u8")
     flat = b" ".join(words)
+    if len(words) < shingle:
+        return np.array([xxh64_intdigest(flat, seed)], "<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-    hashes = [xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+    return np.fromiter((xxh64_intdigest(flat[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())), "<u8", len(starts))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bit i is set where over half of the hashes have it set; a single hash stands for itself."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 65_536):
-        part = np.array(hashes[k : k + 65_536], "<u8")
+        part = hashes[k : k + 65_536]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
+    """Bit i is set where over half of the word shingles' hashes have it set."""
+    return _majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (64 bits as a signed long) of every whole text; null counts as empty."""
 
@@ -77,15 +86,16 @@ def grow_tree(sample: np.ndarray, depth: int):
     return points, radii
 
 
-def _route(prints, tree, depth, most):
+def _route(prints, tree, depth, most, visiting=False):
     """(row, shard, at home) of every visit.  A fingerprint is at home in one shard.
 
     Where two homes part at a radius, the outer one also visits the inner side if the
     triangle inequality allows a partner there; a visitor follows every branch that
     could hold one.  So each pair within `most` bits meets in the inner one's shard.
+    With `visiting`, all rows come as visitors from the start.
     """
     points, radii = tree
-    row, node, home = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.ones(len(prints), bool)
+    row, node, home = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.full(len(prints), not visiting)
     for _ in range(depth):
         d, m = distance(prints[row], points[node]), radii[node]
         inner = np.where(home, d <= m, d <= m + most)
@@ -111,15 +121,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def shard_links(prints: np.ndarray, home: np.ndarray, most: int, leaf: int = LEAF) -> np.ndarray:
-    """Label of each row: the smallest row index linked to it within a shard.
+def _leaf_pairs(prints: np.ndarray, home: np.ndarray, most: int, leaf: int):
+    """(i, j) arrays of all pairs at most so many bits apart with a row at home, each pair once.
 
     A tree over the shard is walked down to small leaves, with the same visiting rule;
-    only there are fingerprints compared.  Links are merged as they are found, so a
-    dense cluster never becomes a list of all its pairs.
+    only there are fingerprints compared.
     """
-    label = np.arange(len(prints))
-    held_a, held_b, held = [], [], 0
     todo = [(np.flatnonzero(home), np.flatnonzero(~home))]
     while todo:
         own, visitors = todo.pop()
@@ -141,9 +148,21 @@ def shard_links(prints: np.ndarray, home: np.ndarray, most: int, leaf: int = LEA
         for k in range(0, len(own), step):
             i, j = np.nonzero(np.bitwise_count(prints[own[k : k + step], None] ^ prints[None, everyone]) <= most)
             later = j > i + k
-            held_a.append(own[i[later] + k])
-            held_b.append(everyone[j[later]])
-            held += len(held_a[-1])
+            yield own[i[later] + k], everyone[j[later]]
+
+
+def shard_links(prints: np.ndarray, home: np.ndarray, most: int, leaf: int = LEAF) -> np.ndarray:
+    """Label of each row: the smallest row index linked to it within a shard.
+
+    Links are merged as they are found, so a dense cluster never becomes a list of all
+    its pairs.
+    """
+    label = np.arange(len(prints))
+    held_a, held_b, held = [], [], 0
+    for a, b in _leaf_pairs(prints, home, most, leaf):
+        held_a.append(a)
+        held_b.append(b)
+        held += len(a)
         if held > 2_000_000:
             label = _forest(len(prints), np.concatenate((np.arange(len(prints)), *held_a)), np.concatenate((label, *held_b)))
             held_a, held_b, held = [], [], 0
