@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import exact, mixing, packing, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
+from fieldwatch.llm import exact, merkle, mixing, packing, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
 from fieldwatch.llm.common import table, unsigned_hex
 from fieldwatch.plans.catalog import Catalog
 
@@ -91,3 +91,13 @@ def op9_token_files(spark, d):
 def op10_suffix_array_dedup(spark, d):
     cut = suffix_array.dedup_bytes(table(spark, d, "documents"))
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@cat.query(merkle.manifest_sql())
+def op13_merkle_manifest(spark, d):
+    docs = table(spark, d, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    received = {"text": F.when(tampered, lowered).otherwise(F.col("text"))}
+    manifest = merkle.merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], received=received)
+    return manifest.withColumn("proof_sha256", F.sha2("proof", 256)).drop("proof")
