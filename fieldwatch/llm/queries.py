@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import exact, merkle, mixing, packing, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
+from fieldwatch.llm import exact, merkle, mixing, packing, postings, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
 from fieldwatch.llm.common import table, unsigned_hex
 from fieldwatch.plans.catalog import Catalog
 
@@ -93,6 +93,19 @@ def op10_suffix_array_dedup(spark, d):
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+@cat.query(postings.SQL)
+def op12_decontamination(spark, d):
+    found = postings.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"), size=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @cat.query(merkle.manifest_sql())
 def op13_merkle_manifest(spark, d):
     docs = table(spark, d, "documents")
