@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldwatch.llm import exact, merkle, mixing, packing, postings, simhash, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
+from fieldwatch.llm import exact, merkle, mixing, packing, postings, simhash, spelling, suffix_array, suffix_tree, templates, tokens, toxicity, vectors
 from fieldwatch.llm.common import table, unsigned_hex
 from fieldwatch.plans.catalog import Catalog
 
@@ -93,6 +93,11 @@ def op10_suffix_array_dedup(spark, d):
     return cut.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
 
 
+@cat.query(spelling.SQL)
+def op11_spelling_variants(spark, d):
+    return spelling.variants(table(spark, d, "documents"), damage=97)
+
+
 @cat.query(postings.SQL)
 def op12_decontamination(spark, d):
     found = postings.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"), size=10)
