@@ -30,7 +30,9 @@ from fieldwatch.llm.common import stored
 #: A run of letters; ASCII capitals are lowered before.
 RUN = re.compile("[a-zÀ-ÿ]+")
 #: Different words a task counts before it passes the counts on.
-COUNTED_WORDS = 400_000
+COUNTED_WORDS = 300_000
+#: Documents whose texts are held as Python strings at once.
+DOCS_HELD = 500
 #: Words of a list; a longer one is cut again.
 LIST_WORDS = 4_000
 #: Rows (a word in a list) that a task is meant to scan.
@@ -69,10 +71,12 @@ def vocabulary(docs: DataFrame, least_length: int, least_count: int, damage: int
             return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.update(runs_of(doc_id, text, damage))
-                if len(held) >= COUNTED_WORDS:
-                    yield counts()
+            for a in range(0, batch.num_rows, DOCS_HELD):
+                part = batch.slice(a, DOCS_HELD)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    held.update(runs_of(doc_id, text, damage))
+                    if len(held) >= COUNTED_WORDS:
+                        yield counts()
         yield counts()
 
     rows = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(count, "word string, n long")
