@@ -15,16 +15,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldwatch.llm import arrays
 from fieldwatch.llm.common import stored
-from fieldwatch.llm.tokens import portions
 
-#: Characters of text in a segment.
-SEGMENT_CHARS = 4_000_000
+#: Bytes of text in a segment, but for a longer document.
+SEGMENT_BYTES = 1_500_000
 #: Phrases that are searched at once; more are searched block by block.
 BLOCK_PHRASES = 50_000
 #: Candidate places that are held at once.
@@ -89,9 +89,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in portions(texts, SEGMENT_CHARS):
-                yield segment(ids.slice(a, b - a), [(t or "").encode() for t in texts[a:b]])
+            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // SEGMENT_BYTES
+            cuts = np.flatnonzero(np.diff(ends, append=-1)) + 1 if len(ends) else ()
+            for a, b in zip([0, *cuts], cuts):
+                yield segment(ids.slice(a, b - a), [t or b"" for t in texts.slice(a, b - a).to_pylist()])
 
     index = docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, schema)
     return stored(index.withColumn("segment", F.monotonically_increasing_id()), "postings")

@@ -58,7 +58,7 @@ def corpus(seed):
 @pytest.mark.parametrize("size", [3, 6])
 def test_matches_equal_brute_force(spark, monkeypatch, size):
     """Many small segments and blocks of few phrases; helper names ride along as columns."""
-    monkeypatch.setattr(postings, "SEGMENT_CHARS", 300)
+    monkeypatch.setattr(postings, "SEGMENT_BYTES", 300)
     monkeypatch.setattr(postings, "BLOCK_PHRASES", 40)
     docs, items = corpus(size)
     left = spark.createDataFrame([(*d, *"abcdef") for d in docs], SCHEMA).repartition(3)
