@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwatch.functions.text import maintenance_action, maintenance_status
-from fieldwatch.session import work_path
+from fieldwatch.sources import logstore
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 CLASSES = ("NORMAL", "LIKELY_GENUINE_WEATHER_EVENT", "LIKELY_SENSOR_DATA_FAULT", "UNCERTAIN")
@@ -117,16 +117,16 @@ def dedup_alerts(log: DataFrame) -> DataFrame:
 KEPT = ("id", "created_at", "previous_observation_timestamp", "next_observation_timestamp")
 
 
-def upsert(log: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge new rows into the log: a known key keeps its first id and `created_at`, all other
-    fields come from its latest row.  Within `new`, a higher id is later."""
-    both = log.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
+def merge_versions(rows: DataFrame, order: str) -> DataFrame:
+    """One row per key of rows in several versions: the first id and `created_at`, all other
+    fields of the latest version.  Within a version (`order`), a higher id is later."""
     has_key = F.coalesce(F.col("alert_key") != "", F.lit(False))
-    kept = [c for c in KEPT if c in log.columns]
-    other = [c for c in log.columns if c not in (*kept, "alert_key")]
-    when = F.struct("_src", "id")
+    columns = [c for c in rows.columns if c != order]
+    kept = [c for c in KEPT if c in columns]
+    other = [c for c in columns if c not in (*kept, "alert_key")]
+    when = F.struct(order, "id")
     merged = (
-        both.where(has_key)
+        rows.where(has_key)
         .groupBy("alert_key")
         .agg(
             F.min_by(F.struct(*kept), when).alias("_first"),
@@ -134,7 +134,14 @@ def upsert(log: DataFrame, new: DataFrame) -> DataFrame:
         )
         .select("alert_key", "_first.*", "_last.*")
     )
-    return merged.select(*log.columns).unionByName(both.where(~has_key).select(*log.columns))
+    return merged.select(*columns).unionByName(rows.where(~has_key).select(*columns))
+
+
+def upsert(log: DataFrame, new: DataFrame) -> DataFrame:
+    """Merge new rows into the log: a known key keeps its first id and `created_at`, all other
+    fields come from its latest row.  Within `new`, a higher id is later."""
+    both = log.withColumn("_src", F.lit(0)).unionByName(new.withColumn("_src", F.lit(1)))
+    return merge_versions(both, "_src")
 
 
 # The day of log rows that have no time; a null partition would be lost when days are rewritten.
@@ -150,32 +157,70 @@ def log_day() -> Column:
     return F.coalesce(F.try_to_timestamp(in_key, F.lit("yyyy-MM-dd")).cast("date"), F.to_date("timestamp"), F.lit(UNDATED).cast("date"))
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, day: str = "log_day") -> None:
-    """Merge `new` into a Parquet log partitioned by `day`, rewriting only the days `new` has.
+def _merge(rows: DataFrame) -> DataFrame:
+    return merge_versions(rows, "commit")
+
 
-    A key always belongs to one day (see log_day).  The merged rows are staged first: a
-    lost executor cannot damage the log.
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, token: str | None = None) -> None:
+    """Commit rows to the log at `path`; known keys are overwritten but for their first identity.
+
+    A key always belongs to one day (see log_day), so its versions meet there.  The commit
+    writes the new rows only and becomes visible in one step (sources.logstore); a day with
+    many versions is folded afterwards.  token: name of a micro-batch, committed once.
     """
-    new = new.withColumn(day, log_day())
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if exists:
-        log = spark.read.schema(new.schema).parquet(path)
-        touched = log.join(new.select(day).distinct(), day, "left_semi")
-        merged = upsert(touched.select(*new.columns), new)
-    else:
-        merged = upsert(new.limit(0), new)
-    staged = work_path(spark, "upsert")
-    merged.write.parquet(staged)
-    (
-        spark.read.schema(merged.schema)
-        .parquet(staged)
-        .hint("rebalance", day)  # few files per day; adaptive execution splits a big day
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day)
-        .parquet(path)
-    )
+    rows = merge_versions(new.withColumn("_src", F.lit(0)), "_src").withColumn(logstore.DAY, log_day())
+    if logstore.append(spark, path, rows, token):
+        logstore.compact(spark, path, _merge)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log, one row per key."""
+    return logstore.read(spark, path, _merge)
+
+
+def newest_days(spark: SparkSession, path: str, wanted: int, keep) -> list[dict]:
+    """The days that hold the newest `wanted` rows that `keep` lets through.
+
+    Opens the latest days, twice as many each time, until they have enough rows and no day
+    left can hold a later one.  Of the rows only their number and lowest time are fetched.
+    """
+    days, take = logstore.days(logstore.entries(spark, path)), 1
+    while take < len(days):
+        rows = keep(logstore.read(spark, path, _merge, days[:take])).orderBy(F.desc("timestamp"), F.desc("id")).limit(wanted)
+        n, low = rows.agg(F.count(F.lit(1)), F.min(F.coalesce("timestamp", F.lit("0001-01-01").cast("timestamp_ntz")))).first()
+        rest = days[take]["high"]
+        if n >= wanted and (rest is None or low > rest):
+            break
+        take *= 2
+    return days[:take]
+
+
+def log_page(spark: SparkSession, path: str, page: int = 1, page_size: int = 10, **filters) -> DataFrame:
+    """alerts_page of a stored log: its items come from the newest days only; the totals read
+    the filter columns of all."""
+    page, size = max(1, int(page)), max(1, min(MAX_PAGE, int(page_size)))
+
+    def keep(rows):
+        return alert_filter(anomalies(rows), **filters)
+
+    recent_days = newest_days(spark, path, page * size, keep)
+    items = keep(logstore.read(spark, path, _merge, recent_days)).orderBy(F.desc("timestamp"), F.desc("id")).offset((page - 1) * size).limit(size)
+    total = keep(read_log(spark, path)).agg(F.count(F.lit(1)).alias("total"))
+    return _paged(items, total, size)
+
+
+def log_row(spark: SparkSession, path: str, alert_id: int) -> DataFrame:
+    """The row of a stored log with this id: entries name the files that may hold it, their
+    filters and row ranges the ones that do, and its key the one day to merge."""
+    listed = logstore.entries(spark, path)
+    schema = logstore.schema_of(spark, path)
+    days = logstore.days(listed)
+    likely = logstore.days(listed.where((F.col("low_id") <= alert_id) & (F.col("high_id") >= alert_id)))
+    found = logstore._read(spark, path, schema, likely).where(F.col("id") == alert_id).select(logstore.DAY, "alert_key").distinct().collect()
+    chosen = [d for d in days if d["day"] in {r[logstore.DAY] for r in found}]
+    keys = [r["alert_key"] for r in found if r["alert_key"]]
+    mine = (F.col("id") == alert_id) if not keys else (F.col("alert_key").isin(keys) | (F.col("id") == alert_id))
+    return logstore.read(spark, path, _merge, chosen, mine).where(F.col("id") == alert_id)
 
 
 def alert_filter(
@@ -215,8 +260,12 @@ def alerts_page(log: DataFrame, page: int = 1, page_size: int = 10, **filters) -
     rows = alert_filter(anomalies(log), **filters)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     items = rows.orderBy(F.desc("timestamp"), F.desc("id")).offset((page - 1) * size).limit(size)
+    return _paged(items, total, size)
+
+
+def _paged(items: DataFrame, total: DataFrame, size: int) -> DataFrame:
     paged = total.withColumn("total_pages", F.floor((F.col("total") + size - 1) / size))
-    return paged.join(F.broadcast(items), F.lit(True), "left").select(*log.columns, "total", "total_pages")  # at most a page
+    return paged.join(F.broadcast(items), F.lit(True), "left").select(*items.columns, "total", "total_pages")  # at most a page
 
 
 def alerts_before(log: DataFrame, timestamp, id_, page_size: int = 10, **filters) -> DataFrame:
@@ -328,9 +377,8 @@ def merge_prefer_new(old: DataFrame, fetched: DataFrame, key: str = "alert_key")
     ).select("_r.*")
 
 
-def clear_log(spark: SparkSession, path: str, schema) -> int:
+def clear_log(spark: SparkSession, path: str) -> int:
     """Empty the log; returns how many rows it held."""
-    deleted = spark.read.schema(schema).parquet(path).count()
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    deleted = read_log(spark, path).count()
+    logstore.clear(spark, path)
     return deleted
-

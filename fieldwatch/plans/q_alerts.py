@@ -90,6 +90,12 @@ def log(spark, d):
     )
 
 
+def stored_log(spark, d):
+    path = work_path(spark, "log")
+    alerts.upsert_table(spark, path, log(spark, d))
+    return path
+
+
 NOT_BROKEN = "NOT (event_type = 'signup' AND k > 90)"
 # Where the payload is broken, the row's columns give the parameter but no cause.
 BROKEN_KEY = """fixed AS (SELECT *, CASE WHEN event_type = 'signup' AND k > 90 THEN
@@ -163,8 +169,7 @@ def upsert_observation_log(spark, d):
     early = F.col("classification").isin("LIKELY_SENSOR_DATA_FAULT", "LIKELY_GENUINE_WEATHER_EVENT")
     for part in (rows.where(early), rows.where(~early)):
         alerts.upsert_table(spark, path, part)
-    stored = spark.read.schema(rows.withColumn("log_day", alerts.log_day()).schema).parquet(path)
-    return stored.select("id", "alert_key", "severity", "observed_value", "created_at")
+    return alerts.read_log(spark, path).select("id", "alert_key", "severity", "observed_value", "created_at")
 
 
 @cat.query(
@@ -193,7 +198,8 @@ FROM base WHERE classification <> 'NORMAL' AND severity = 'CRITICAL' ORDER BY "t
     )
 )
 def alerts_page(spark, d):
-    out = alerts.alerts_page(log(spark, d), page=3, page_size=25, severity="critical")
+    """From the stored log, opening its newest days only."""
+    out = alerts.log_page(spark, stored_log(spark, d), page=3, page_size=25, severity="critical")
     return out.select("id", "timestamp", "station_id", "classification", "total", "total_pages")
 
 
@@ -226,7 +232,9 @@ def alert_maintenance(spark, d):
     )
 )
 def alert_by_id(spark, d):
-    return alerts.alert_by_id(log(spark, d), 123).select("id", "severity", "maintenance_status", "maintenance_action")
+    """From the stored log, by its entries and bloom filters."""
+    found = alerts.log_row(spark, stored_log(spark, d), 123)
+    return alerts.with_maintenance(found).select("id", "severity", "maintenance_status", "maintenance_action")
 
 
 @cat.query(with_sql(body="SELECT id, classification, severity FROM base WHERE classification <> 'NORMAL' AND severity = 'LOW' ORDER BY id DESC LIMIT 200"))
@@ -300,9 +308,7 @@ def merge_prefer_new(spark, d):
 
 @cat.query(with_sql(body="SELECT count(*) AS deleted, CAST(0 AS BIGINT) AS remaining FROM base"))
 def clear_log(spark, d):
-    path = work_path(spark, "log")
-    rows = log(spark, d)
-    rows.write.parquet(path)
-    deleted = alerts.clear_log(spark, path, rows.schema)
-    left = spark.read.schema(rows.schema).parquet(path)
+    path = stored_log(spark, d)
+    deleted = alerts.clear_log(spark, path)
+    left = alerts.read_log(spark, path)
     return left.agg(F.lit(deleted).cast("long").alias("deleted"), F.count(F.lit(1)).alias("remaining"))

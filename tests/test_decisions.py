@@ -43,9 +43,9 @@ def test_batch_job_feeds_decisions_and_log(spark):
         path = work_path(spark, "log")
         for _ in range(2):
             decisions.update_log(spark, out, path, "now")
-        log = spark.read.parquet(path).collect()
+        log = alerts.read_log(spark, path).collect()
         assert len(log) == len({r.alert_key for r in log}) == sum(r.classification != "NORMAL" for r in rows.values())
-        assert sum(r.alerts for r in alerts.severity_counts(spark.read.parquet(path)).collect()) >= 2
+        assert sum(r.alerts for r in alerts.severity_counts(alerts.read_log(spark, path)).collect()) >= 2
     finally:
         spark.conf.set(BLOCK_ROWS, block)
 

@@ -138,7 +138,7 @@ def test_upsert_keeps_the_first_identity(spark):
     path = work_path(spark, "log")
     alerts.upsert_table(spark, path, log_rows(spark, [(1, 0, "UNCERTAIN", "LOW", "k1"), (2, 30, "UNCERTAIN", "LOW", "k2")]))
     alerts.upsert_table(spark, path, log_rows(spark, [(3, 0, "UNCERTAIN", "HIGH", "k1"), (4, 1, "UNCERTAIN", "LOW", "k3")]))
-    got = {r.alert_key: r for r in spark.read.parquet(path).collect()}
+    got = {r.alert_key: r for r in alerts.read_log(spark, path).collect()}
     assert len(got) == 3
     assert (got["k1"].id, got["k1"].created_at, got["k1"].severity) == (1, "t1", "HIGH")
     assert got["k2"].id == 2
@@ -165,11 +165,11 @@ def test_undated_rows_survive_and_keys_keep_their_day(spark):
     second = log_rows(spark, [(3, 0, "UNCERTAIN", "LOW", "k3")]).withColumn("timestamp", undated)
     for part in (first, second, second):
         alerts.upsert_table(spark, path, part)
-    assert sorted(r.alert_key for r in spark.read.parquet(path).collect()) == ["k1", "k2", "k3"]
+    assert sorted(r.alert_key for r in alerts.read_log(spark, path).collect()) == ["k1", "k2", "k3"]
     key = "A|2015-03-01 10:00:00|temperature|x"
     for hours in (0, 72):  # the key's time counts, not the column's
         alerts.upsert_table(spark, path, log_rows(spark, [(9 + hours, hours, "UNCERTAIN", "LOW", key)]))
-    rows = spark.read.parquet(path).where(F.col("alert_key") == key).collect()
+    rows = alerts.read_log(spark, path).where(F.col("alert_key") == key).collect()
     assert len(rows) == 1 and str(rows[0].log_day) == "2015-03-01"
 
 
