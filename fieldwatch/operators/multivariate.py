@@ -86,27 +86,35 @@ def multivariate_expanding(df: DataFrame, qc_flag: str | None = "qc_flag", limit
     return tl.done(rows).select(*df.columns, "multivariate_score", "multivariate_anomaly")
 
 
-def multivariate_trained(df: DataFrame, train_flag: str = "is_train") -> DataFrame:
-    """Scaler fitted on the training rows' changes, missing changes 0, flag above the 99th
-    percentile of the training rows' scores.  train_flag: boolean column.
+def fit_changes(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scaler of the training rows' changes, and the 99th percentile of their scores: one row each."""
+    scaler = fit_scaler(train.dropna(subset=list(CHANGES)), CHANGES)
+    return scaler, quantiles(_scored(train, scaler), [], "multivariate_score", {"threshold": 0.99})
 
-    `df` is read three times; pass a stored table, or `session.cut` it first.
-    """
-    of_train = df.where(F.col(train_flag))
-    scaler = fit_scaler(of_train.dropna(subset=list(CHANGES)), CHANGES)
 
-    def score(rows):
-        scaled = scale(rows.fillna(0.0, list(CHANGES)), scaler, CHANGES)
-        return scaled.withColumn("multivariate_score", _norm(f"{c}_z" for c in CHANGES))
+def _scored(rows: DataFrame, scaler: DataFrame) -> DataFrame:
+    scaled = scale(rows.fillna(0.0, list(CHANGES)), scaler, CHANGES)
+    return scaled.withColumn("multivariate_score", _norm(f"{c}_z" for c in CHANGES))
+
 
-    cut = quantiles(score(of_train), [], "multivariate_score", {"threshold": 0.99})
+def score_changes(df: DataFrame, scaler: DataFrame, cut: DataFrame) -> DataFrame:
+    """Missing changes count as 0; the flag is a score above the fitted percentile."""
     return (
-        score(df)
+        _scored(df, scaler)
         .crossJoin(F.broadcast(cut))  # one row
         .withColumn("multivariate_anomaly", F.col("multivariate_score") > F.col("threshold"))
     )
 
 
+def multivariate_trained(df: DataFrame, train_flag: str = "is_train") -> DataFrame:
+    """Scaler fitted on the training rows' changes, missing changes 0, flag above the 99th
+    percentile of the training rows' scores.  train_flag: boolean column.
+
+    `df` is read three times; pass a stored table, or `session.cut` it first.
+    """
+    return score_changes(df, *fit_changes(df.where(F.col(train_flag))))
+
+
 def multivariate_l1(df: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
     """Sum of |change| / sample deviation of the reference changes, against a threshold."""
     stats = reference.agg(*[F.stddev_samp(c).alias(f"_d_{c}") for c in CHANGES])

@@ -138,9 +138,12 @@ def quality_control(
     return qc_result(out, profile, _limits(profile, thresholds))
 
 
-def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column] | None = None) -> DataFrame:
+def qc_result(
+    out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column] | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The result columns, for rows that carry the hours since the previous row (`_h`), its
-    values (`_p_<channel>`) and the flatline flags.  Shared by the batch and stream jobs."""
+    values (`_p_<channel>`) and the flatline flags.  Shared by the batch and stream jobs.
+    keep: other columns to pass on."""
     lim = lim or _limits(profile, None)
     gap = F.coalesce(F.col("_h") > profile.nominal_hours, F.lit(False))
     out = out.withColumns({f"_r_{c}": _rate(c, F.lit(profile.rate_gap_hours)) for c in CHANNELS})
@@ -197,4 +200,5 @@ def qc_result(out: DataFrame, profile: Profile = SERVICE, lim: dict[str, Column]
         *[F.col(f"{c}_flatline") for c in CHANNELS],
         cols["missing_flag"].alias("missing_flag"),
         gap.alias("gap_flag"),
+        *keep,
     )

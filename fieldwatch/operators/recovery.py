@@ -44,7 +44,12 @@ def recover_neighbors(df: DataFrame, flagged: str, parameters: str) -> DataFrame
     previous and next row's value.  Not tested for adjacency in time; a neighbour of -100
     or less counts as invalid."""
     tl, rows = _around(df)
-    rows = tl.done(rows)
+    return neighbor_estimates(tl.done(rows), flagged, parameters)
+
+
+def neighbor_estimates(rows: DataFrame, flagged: str, parameters: str) -> DataFrame:
+    """The same for rows that carry their neighbours' times (`_pt`, `_nt`) and values
+    (`_p_<channel>`, `_n_<channel>`).  Shared by the batch and stream jobs."""
     choices = F.array(
         *[
             F.struct(

@@ -6,18 +6,31 @@ from fieldwatch import decisions
 from fieldwatch.operators import alerts
 from fieldwatch.operators.spatial import station_distances
 from fieldwatch.plans.catalog import Catalog
+from fieldwatch.config import CHANNELS
 from fieldwatch.plans.driver_views import dense
-from fieldwatch.plans.q_spatial import neighbours, readings_of, stations
-from fieldwatch.session import work_path
+from fieldwatch.plans.q_spatial import neighbours, stations
+from fieldwatch.plans.q_streaming import in_order
+from fieldwatch.plans.sqltext import DENSE, sql
+from fieldwatch.session import cut, work_path
+from fieldwatch.sources.models import load_model, save_model
+from fieldwatch.streaming import decisions as live
+from fieldwatch.streaming.state import use_rocksdb
 
 cat = Catalog()
 KEYS = ["station_id", "timestamp"]
 
 
+def nearby(spark, d):
+    """All readings of each station's first neighbour at the same time, and the registered pairs."""
+    obs, dim = dense(spark, d), stations(spark, d)
+    near = obs.select(F.col("station_id").alias("buddy_station_id"), "timestamp", *[F.col(c).alias(f"buddy_{c}") for c in CHANNELS])
+    first = dim.select("station_id", F.col("neighbour_1").alias("buddy_station_id"))
+    readings = obs.select(*KEYS).join(first, "station_id").join(near, ["buddy_station_id", "timestamp"])
+    return readings, station_distances(dim, neighbours(dim))
+
+
 def decided(spark, d):
-    dim = stations(spark, d)
-    pairs = station_distances(dim, neighbours(dim))
-    return decisions.run_decisions(dense(spark, d), readings_of(spark, d), pairs)
+    return decisions.run_decisions(dense(spark, d), *nearby(spark, d))
 
 
 @cat.query()
@@ -33,7 +46,7 @@ def decision_log(spark, d):
     """The alert log those decisions leave."""
     path = work_path(spark, "decision-log")
     decisions.update_log(spark, decided(spark, d), path, "2024-02-01 00:00:00")
-    log = spark.read.parquet(path)
+    log = alerts.read_log(spark, path)
     return log.select("id", "alert_key", "station_id", "timestamp", "classification", "severity", "estimated_value", "recovery_status", F.col("log_day").cast("string").alias("log_day"))
 
 
@@ -42,4 +55,35 @@ def decision_statistics(spark, d):
     """Counts of the log by class and severity."""
     path = work_path(spark, "decision-log")
     decisions.update_log(spark, decided(spark, d), path, "2024-02-01 00:00:00")
-    return alerts.alert_statistics(spark.read.parquet(path))
+    return alerts.alert_statistics(alerts.read_log(spark, path))
+
+
+#: What the live job and the batch job must agree on: exactly, and to six places.
+EXACT = ["qc_flag", "gap_flag", "iforest_status", "sequence_status", "multivariate_anomaly", "thermo_status", "spatial_status", "evidence_count"]
+EXACT += ["classification", "severity", "primary_parameter", "probable_cause", "operator_action", "overall_status", "observed_value", "estimated_value"]
+EXACT += ["recovery_status", "previous_observation_timestamp", "next_observation_timestamp"]
+CLOSE = ["iforest_score", "sequence_mse", "multivariate_score", "spatial_score", "confidence", "overall_health_index"]
+
+
+@cat.query(sql(DENSE, body="SELECT station_id, \"timestamp\", true AS same, true AS in_log FROM dense"))
+def stream_decisions(spark, d):
+    """The live job over all observations, four micro-batches, against the batch job with the same stored models."""
+    use_rocksdb(spark)
+    obs = cut(dense(spark, d).select(*KEYS, *CHANNELS), "observations")
+    readings, pairs = (cut(x, "near") for x in nearby(spark, d))
+    folder = work_path(spark, "models")
+    save_model(decisions.fit_models(obs), folder)
+    models = load_model(spark, folder, decisions.MODEL_TABLES)
+    path, log = work_path(spark, "live"), work_path(spark, "live-log")
+    live.decision_stream(in_order(obs), readings, pairs, models, path, work_path(spark, "live-checkpoint"), log, "2024-02-01 00:00:00").awaitTermination()
+    got, want = live.current_decisions(spark, path), decisions.run_decisions(obs, readings, pairs, models=models)
+    same = F.lit(True)
+    for c in EXACT:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"w.{c}"))
+    for c in CLOSE:
+        g, w = F.col(f"g.{c}"), F.col(f"w.{c}")
+        same = same & ((g.isNull() & w.isNull()) | F.coalesce(F.abs(g - w) < 2e-6, F.lit(False)))
+    logged = alerts.read_log(spark, log).select("station_id", "timestamp", F.lit(True).alias("logged"))
+    both = got.alias("g").join(want.alias("w"), KEYS, "full_outer").select(*KEYS, same.alias("same"), F.col("w.classification").alias("kind"))
+    in_log = F.coalesce("logged", F.lit(False)) == (F.col("kind") != "NORMAL")
+    return both.join(logged, KEYS, "left").select(*KEYS, F.coalesce("same", F.lit(False)).alias("same"), in_log.alias("in_log"))

@@ -1,5 +1,6 @@
 """Queries: streams, run to the end of the given data and compared with the batch rules."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
@@ -12,7 +13,7 @@ from fieldwatch.plans.q_features import WINDOW_OUT, window_sums, windows_sql
 from fieldwatch.plans.q_health import LONG, QC
 from fieldwatch.plans.q_qc import flat_text
 from fieldwatch.plans.sqltext import QC_COLUMNS, SPARSE, service_ctes, sql, steps
-from fieldwatch.session import work_path
+from fieldwatch.session import cut, work_path
 from fieldwatch.streaming import jobs, state
 
 cat = Catalog()
@@ -110,8 +111,7 @@ def stream_alert_sink(spark, d):
     rows = alerts.with_alert_keys(q_alerts.log(spark, d))
     path = work_path(spark, "alert_log")
     jobs.alert_sink(in_order(rows), path, work_path(spark, "alert_checkpoint")).awaitTermination()
-    log = spark.read.schema(rows.withColumn("log_day", alerts.log_day()).schema).parquet(path)
-    return log.select("alert_key", "id", "severity", "observed_value")
+    return alerts.read_log(spark, path).select("alert_key", "id", "severity", "observed_value")
 
 
 @cat.query(
@@ -134,3 +134,78 @@ FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, "timestamp", TIMESTAMP '20
 def windowed_health_stream(spark, d):
     """Day-long windows every twelve hours (the batch form of the watermarked stream)."""
     return jobs.windowed_health(quality_control(clean_sparse(spark, d)), "24 hours", "12 hours")
+
+
+# Rows arrive by week.  One hour in five comes four days behind its time, one in seventeen
+# twelve days behind.  A row's arrival is the week it comes in.
+def arriving_late(rows):
+    hour = F.expr("cast(unix_micros(cast(timestamp as timestamp)) div 3600000000 as long)")
+    behind = F.when(hour % 17 == 0, 12).when(hour % 5 == 0, 4).otherwise(0)
+    comes = F.datediff(F.col("timestamp"), F.lit("2024-01-01")) + behind
+    rows = cut(rows.withColumn("_week", F.least(F.floor(comes / 7), F.lit(4))), "late-rows")
+    return [rows.where(F.col("_week") == k).drop("_week") for k in range(5)]
+
+
+def arrivals_sql(name):
+    """`came` with the week a row comes in, and `mark`: how far event time had got before each week."""
+    return f"""came AS (SELECT *, least((date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', "timestamp")) + CASE WHEN hour_no % 17 = 0 THEN 12 WHEN hour_no % 5 = 0 THEN 4 ELSE 0 END) // 7, 4) AS week
+  FROM (SELECT *, epoch_us("timestamp") // 3600000000 AS hour_no FROM {name})),
+mark AS (SELECT w.week, (SELECT max("timestamp") FROM came c WHERE c.week < w.week) AS seen, (SELECT max("timestamp") FROM came) AS last FROM (SELECT DISTINCT week FROM came) w)"""
+
+
+@cat.query(
+    sql(
+        *service_ctes("sparse"),
+        arrivals_sql("qc"),
+        """placed AS (SELECT came.*, seen, last, unnest([time_bucket(INTERVAL 12 HOUR, "timestamp", TIMESTAMP '2024-01-01') - INTERVAL 12 HOUR, time_bucket(INTERVAL 12 HOUR, "timestamp", TIMESTAMP '2024-01-01')]) AS hour
+  FROM came JOIN mark USING (week))""",
+        body="""SELECT station_id, hour AS window_start, count(*) AS rows, count(*) FILTER (qc_flag = 'SUSPECT') AS suspect, count(*) FILTER (qc_flag = 'MISSING') AS missing
+FROM placed WHERE (seen IS NULL OR hour + INTERVAL 24 HOUR > seen - INTERVAL 3 DAY) AND hour + INTERVAL 24 HOUR <= last - INTERVAL 3 DAY GROUP BY ALL""",
+    )
+)
+def windowed_health_watermark(spark, d):
+    """Day-long windows every twelve hours on a stream with late files: each window comes out
+    once, when the watermark (three days behind) has passed it, without the rows that came too late."""
+    rows = quality_control(clean_sparse(spark, d)).select(*KEYS, "qc_flag")
+    job = lambda stream: jobs.windowed_health(stream, "24 hours", "12 hours", late="3 days")
+    return jobs.run_arrivals(arriving_late(rows), job, "windowed")
+
+
+@cat.query(
+    sql(
+        SPARSE,
+        """seg AS (SELECT station_id, "timestamp", sum(CASE WHEN "timestamp" - prev > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY "timestamp") AS segment_id
+  FROM (SELECT *, lag("timestamp") OVER (PARTITION BY station_id ORDER BY "timestamp") AS prev FROM sparse))""",
+        body="""SELECT station_id, CAST(segment_id AS BIGINT) AS segment_id, min("timestamp") AS segment_start, max("timestamp") AS segment_end, count(*) AS rows
+FROM seg GROUP BY station_id, segment_id HAVING max("timestamp") + INTERVAL 1 HOUR < (SELECT max("timestamp") FROM sparse) - INTERVAL 5 DAY""",
+    )
+)
+def stream_segments(spark, d):
+    """Segments as session windows over files of which some rows come four days late, numbered
+    as `segment_ids` does; those still open when the stream ends are left out."""
+    rows = clean_sparse(spark, d).select(*KEYS)
+    hour = F.expr("cast(unix_micros(cast(timestamp as timestamp)) div 3600000000 as long)")
+    comes = F.datediff(F.col("timestamp"), F.lit("2024-01-01")) + F.when(hour % 5 == 0, 4).otherwise(0)
+    rows = cut(rows.withColumn("_week", F.least(F.floor(comes / 7), F.lit(4))), "late-rows")
+    arrivals = [rows.where(F.col("_week") == k).drop("_week") for k in range(5)]
+    found = jobs.run_arrivals(arrivals, lambda stream: jobs.segments(stream, 1.0, late="5 days"), "segments")
+    number = F.row_number().over(Window.partitionBy("station_id").orderBy("segment_start")) - 1
+    return found.select("station_id", number.cast("long").alias("segment_id"), "segment_start", "segment_end", "rows")
+
+
+@cat.query(
+    sql(
+        *service_ctes("sparse"),
+        body="""SELECT CASE WHEN "timestamp" < TIMESTAMP '2024-01-09' THEN 0 WHEN "timestamp" < TIMESTAMP '2024-01-17' THEN 1 WHEN "timestamp" < TIMESTAMP '2024-01-25' THEN 2 ELSE 3 END AS part,
+  count(*) AS rows, count(*) FILTER (qc_flag <> 'PASSED') AS anomalies, max("timestamp") AS last_timestamp FROM qc GROUP BY 1""",
+    )
+)
+def stream_progress(spark, d):
+    """What the stream reports of itself while it runs, by the period its micro-batches lie in."""
+    state.use_rocksdb(spark)
+    rows = in_order(clean_sparse(spark, d).select(*KEYS, *CHANNELS))
+    _, report = jobs.observed_progress(state.stream_qc(rows), "progress")
+    part = F.lit(0)
+    for day in ("2024-01-09", "2024-01-17", "2024-01-25"):
+        part = part + (F.col("last_timestamp") >= day).cast("int")
+    return report.groupBy(part.alias("part")).agg(F.sum("rows").alias("rows"), F.sum("anomalies").alias("anomalies"), F.max("last_timestamp").alias("last_timestamp"))
