@@ -122,6 +122,12 @@ def tie_even(x: Column, digits: int) -> Column:
     return F.when(F.pmod(product, F.lit(2.0)) == 1.0, nearest).otherwise(x)
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to the even digit; `F.round` rounds the shortest
+    decimal text half up, so 6.005, which is a little less in binary, would become 6.01."""
+    return F.round(tie_even(x, digits), digits)
+
+
 def compact_texts(*texts: Column) -> Column:
     """Array of the texts that are not null, in order.  Joined and split again: unlike a
     lambda over an array, this stays inside generated code."""

@@ -64,6 +64,14 @@ def method_comparison(df: DataFrame, methods: dict[str, str], truth: str = "grou
     return long.groupBy("method").agg(*_metrics(F.col("_flag"), F.col("_truth")))
 
 
+def model_evidence(df: DataFrame, forest_scores: DataFrame, window_errors: DataFrame) -> DataFrame:
+    """Rows with the votes' model flags: `if_anomaly`, `sequence_anomaly`; false without a score."""
+    scored = df.join(forest_scores.select(*KEYS, F.col("iforest_flag").alias("_if")), KEYS, "left")
+    scored = scored.join(window_errors.select(*KEYS, F.col("sequence_flag").alias("_seq")), KEYS, "left")
+    flags = {"if_anomaly": F.coalesce("_if", F.lit(False)), "sequence_anomaly": F.coalesce("_seq", F.lit(False))}
+    return scored.withColumns(flags).drop("_if", "_seq")
+
+
 def detection_by_type(df: DataFrame) -> DataFrame:
     flags = {"qc": "qc_evidence", "if": "if_evidence", "sequence": "sequence_evidence", "fusion": "final_anomaly"}
     return (

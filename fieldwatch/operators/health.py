@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
-from fieldwatch.functions.text import compact_texts, tie_even
+from fieldwatch.functions.text import compact_texts, round_even, tie_even
 from fieldwatch.session import cut
 from fieldwatch.timeline import Timeline
 
@@ -321,7 +321,7 @@ def anomaly_trend(long: DataFrame, keys: Sequence[str], recent_rows: int = 24) -
         .agg(F.avg(F.col("anomaly").cast("int")).alias("_recent"), F.count(F.lit(1)).alias("_n"))
     )
     overall = long.groupBy(*by).agg(F.avg(F.col("anomaly").cast("int")).alias("_all"))
-    trend = F.when(F.col("_n") >= recent_rows, F.round(F.col("_recent") - F.col("_all"), 4)).otherwise(0.0)
+    trend = F.when(F.col("_n") >= recent_rows, round_even(F.col("_recent") - F.col("_all"), 4)).otherwise(0.0)
     return recent.join(overall, by).select(*by, trend.alias("recent_anomaly_trend"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
-from fieldwatch.functions.text import compact_texts
+from fieldwatch.functions.text import compact_texts, round_even
 from fieldwatch.functions.geo import haversine_km, pressure_at
 
 TOLERANCE = {"temperature": 6.0, "pressure": 4.0, "humidity": 25.0}
@@ -84,7 +84,11 @@ def spatial_check(joined: DataFrame) -> DataFrame:
     t, p, h = (F.col(c) for c in CHANNELS)
     bt, bp, bh = (F.col(f"buddy_{c}") for c in CHANNELS)
     moved = pressure_at(p, F.col("elevation_m"), F.col("buddy_elevation_m"))
-    dt, dp, dh = F.round(t - bt, 2), F.round(moved - bp, 2), F.round(h - bh, 2)
+    # Named first: each is used many times below.
+    differences = {"_dt": round_even(t - bt, 2), "_dp": round_even(moved - bp, 2), "_dh": round_even(h - bh, 2)}
+    columns = joined.columns
+    joined = joined.withColumns(differences)
+    dt, dp, dh = (F.col(c) for c in differences)
     empty = bt.isNull() & bp.isNull() & bh.isNull()
     usable = F.col("buddy_given") & ~empty
     t_off = F.coalesce(F.abs(dt) > TOLERANCE["temperature"], F.lit(False))
@@ -116,7 +120,7 @@ def spatial_check(joined: DataFrame) -> DataFrame:
         ),
     )
     return joined.select(
-        *[c for c in joined.columns if c not in ("buddy_given", "elevation_m", "buddy_elevation_m")],
+        *[c for c in columns if c not in ("buddy_given", "elevation_m", "buddy_elevation_m")],
         F.when(usable, dt).alias("temp_difference"),
         F.when(usable, dp).alias("pressure_difference_adjusted"),
         F.when(usable, dh).alias("humidity_difference"),

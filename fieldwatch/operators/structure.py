@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SEQUENCE_ROWS
+from fieldwatch.functions.text import round_even
 from fieldwatch.ranks import quantiles
 from fieldwatch.session import cut
 from fieldwatch.timeline import Timeline, hours_between, run_at_least
@@ -62,7 +63,7 @@ def time_gaps(df: DataFrame, nominal_hours: float = 1.0) -> DataFrame:
     is_gap = (F.col("_h") > nominal_hours).cast("long")
     rows = tl.running_sum(rows, {"gap_id": is_gap})
     gaps = rows.where(F.col("_h") > nominal_hours)
-    hours = F.round("_h", 2)
+    hours = round_even(F.col("_h"), 2)
     return gaps.select(
         "station_id",
         "gap_id",
@@ -71,7 +72,7 @@ def time_gaps(df: DataFrame, nominal_hours: float = 1.0) -> DataFrame:
         "gap_start",
         F.col("timestamp").alias("gap_end"),
         hours.alias("duration_hours"),
-        F.round(hours / 24.0, 2).alias("duration_days"),
+        round_even(hours / 24.0, 2).alias("duration_days"),
         (F.bround(hours / nominal_hours).cast("long") - 1).alias("missing_steps"),
     )
 
@@ -88,11 +89,11 @@ def gap_statistics_of(stations: DataFrame, gaps: DataFrame, nominal_hours: float
         F.count(F.lit(1)).alias("total_gaps"),
         F.min(d).alias("min_gap_hours"),
         F.max(d).alias("max_gap_hours"),
-        F.round(F.avg(d), 2).alias("mean_gap_hours"),
-        F.round(F.sum(d) - F.count(F.lit(1)) * nominal_hours, 1).alias("total_missing_hours"),
+        round_even(F.avg(d), 2).alias("mean_gap_hours"),
+        round_even(F.sum(d) - F.count(F.lit(1)) * nominal_hours, 1).alias("total_missing_hours"),
     )
     q = quantiles(gaps, ["station_id"], "duration_hours", {"median_gap_hours": 0.5, "p90": 0.9})
-    q = q.withColumn("p90_gap_hours", F.round("p90", 2)).drop("p90")
+    q = q.withColumn("p90_gap_hours", round_even(F.col("p90"), 2)).drop("p90")
     out = stations.join(basic, "station_id", "left").join(q, "station_id", "left")
     zeros = {c: 0 if c == "total_gaps" else 0.0 for c in out.columns if c != "station_id"}
     return out.fillna(zeros)

@@ -6,16 +6,21 @@ both engines see the same numbers; the fitted models have their own queries.
 
 from pyspark.sql import functions as F
 
+from fieldwatch import decisions
 from fieldwatch.config import CHANNELS, SEQUENCE_ERROR_THRESHOLD
 from fieldwatch.operators import evaluation, fusion, recovery, spatial, votes
+from fieldwatch.operators.features import feature_table
 from fieldwatch.operators.hourly_qc import hourly_qc
 from fieldwatch.operators.multivariate import multivariate_batch
 from fieldwatch.operators.qc import quality_control
+from fieldwatch.operators.sequences import sequence_windows
 from fieldwatch.plans.catalog import Catalog
 from fieldwatch.plans.driver_views import dense, table
 from fieldwatch.plans.q_features import BATCH_MV
+from fieldwatch.plans.q_models import FIXED_LIMIT, fixed_errors, fixed_errors_sql, fixed_forest_flags, fixed_forest_sql
 from fieldwatch.plans.q_spatial import SPATIAL_CTES, joined
 from fieldwatch.plans.sqltext import DENSE, flat_runs, hourly_ctes, service_qc, sql, steps
+from fieldwatch.session import cut
 
 cat = Catalog()
 KEYS = ["station_id", "timestamp"]
@@ -569,15 +574,25 @@ def inject_anomalies(spark, d):
 EVAL = [
     *hourly_ctes(DENSE + ",\n" + _inj_sql(), "inj", gated=False, spikes=False),
     BATCH_MV,
-    """eb AS (SELECT *, qc_flag AS qc_evidence, temperature > -10 AS if_evidence, humidity >= 60 AS sequence_evidence, coalesce(mscore > 3, false) AS multivariate_evidence FROM mv),
+    fixed_forest_sql("inj"),
+    fixed_errors_sql("inj"),
+    f"""eb AS (SELECT mv.*, qc_flag AS qc_evidence, coalesce(iforest_flag, false) AS if_evidence, coalesce(round(mse, 9) > {FIXED_LIMIT}, false) AS sequence_evidence, coalesce(mscore > 3, false) AS multivariate_evidence
+  FROM mv LEFT JOIN forest_flags USING (station_id, "timestamp") LEFT JOIN errors USING (station_id, "timestamp")),
 ef AS (SELECT *, CAST(qc_evidence AS INT) + CAST(if_evidence AS INT) + CAST(sequence_evidence AS INT) + CAST(multivariate_evidence AS INT) >= 2 AS final_anomaly FROM eb)""",
 ]
 
 
 def evaluated(spark, d):
-    rows = multivariate_batch(hourly_qc(injected(spark, d), gated=False, spikes=False))
-    rows = rows.withColumns({"if_anomaly": F.col("temperature") > -10, "sequence_anomaly": F.col("humidity") >= 60})
-    rows = votes.vote(rows)
+    """Injected rows judged by the rules and the written-out models."""
+    rows = cut(injected(spark, d), "injected")
+    errors = fixed_errors(rows).select(*KEYS, (F.round("mse", 9) > FIXED_LIMIT).alias("sequence_flag"))
+    return judged(rows, fixed_forest_flags(rows), errors)
+
+
+def judged(rows, forest_scores, window_errors):
+    """Injected rows with each method's evidence and the vote."""
+    rows = multivariate_batch(hourly_qc(rows, gated=False, spikes=False))
+    rows = votes.vote(evaluation.model_evidence(rows, forest_scores, window_errors))
     return rows.select(
         *KEYS,
         "ground_truth",
@@ -742,3 +757,14 @@ def union_datasets(spark, d):
     return evaluation.union_datasets(
         {"a": e.where("event_type = 'click'"), "b": e}
     ).drop("event_type")
+
+
+@cat.query()
+def fitted_evaluation(spark, d):
+    """The controlled evaluation with fitted models (no SQL twin: fits are iterative): models of
+    the clean training rows, cases injected into all rows, all rows scored, each method's metrics."""
+    rows = cut(injected(spark, d), "injected")
+    models = decisions.fit_models(dense(spark, d), decisions.Settings(trees=50))
+    table = cut(feature_table(rows.select(*KEYS, *CHANNELS)), "features")
+    windows = sequence_windows(rows.select(*KEYS, *CHANNELS))
+    return evaluation.method_comparison(judged(rows, decisions.forest_scores(table, models), decisions.sequence_errors(windows, models)), METHODS)

@@ -381,16 +381,14 @@ def latest_parameter_health(spark, d):
 @cat.query(
     sql(
         *LOG_SQL,
-        """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS r FROM log WHERE station_id <> 'ST-1') WHERE r = 1)""",
+        """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY day DESC) AS r FROM log) WHERE r = 1)""",
         STATIONS,
         body=f"""SELECT s.station_id, CASE WHEN l.station_id IS NULL THEN 'OPERATIONAL' ELSE {OVERALL.format(o='overall', m='low')} END AS overall_status,
   coalesce(alerts, '') AS alerts, CAST(coalesce(alert_count, 0) AS INTEGER) AS alert_count FROM stations s LEFT JOIN last l USING (station_id)""",
     )
 )
 def active_health_alerts(spark, d):
-    """ST-1's log is left out, to show a station without any."""
-    log = snapshot_log(spark, d).where("station_id <> 'ST-1'")
-    out = health.active_health_alerts(stations(spark, d), log)
+    out = health.active_health_alerts(stations(spark, d), snapshot_log(spark, d))
     return out.withColumn("alerts", F.concat_ws("; ", "active_alerts")).drop("active_alerts")
 
 

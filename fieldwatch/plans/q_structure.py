@@ -73,7 +73,7 @@ GAPS = f"""placed AS (
 gaps AS (
   SELECT station_id, row_number() OVER (PARTITION BY station_id ORDER BY "timestamp") AS gap_id,
     i - 1 AS row_index_before, i AS row_index_after, gap_start, "timestamp" AS gap_end,
-    round(h, 2) AS duration_hours, round(round(h, 2) / 24, 2) AS duration_days,
+    round(h, 2) AS duration_hours, round_even(round(h, 2) / 24, 2) AS duration_days,
     CAST(round_even(round(h, 2), 0) AS BIGINT) - 1 AS missing_steps FROM placed WHERE h > 1)"""
 
 

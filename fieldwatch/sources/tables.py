@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,15 +50,51 @@ def write_report_json(report: DataFrame, path: str) -> None:
     report.write.json(path)
 
 
-def source_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Checksum, size and modification time of every file under `path`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(
-        "path",
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-    )
+#: Bytes of a file that are held at once.
+CHUNK = 4 << 20
+
+
+def _file(path: str):
+    """The file system a file lies in, and its name there."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def file_digest(path: str, chunk: int = CHUNK) -> str:
+    """SHA-256 of a file, read in pieces of bounded size."""
+    digest = hashlib.sha256()
+    system, name = _file(path)
+    with system.open_input_stream(name) as stream:
+        while piece := stream.read(chunk):
+            digest.update(piece)
+    return digest.hexdigest()
+
+
+def source_manifest(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """Checksum, size and modification time of every file under `path`, of any size.
+
+    Spark's reader lists the files (names only, empty files too).  They are dealt out over
+    the cluster, and a task reads each of its files piece by piece into one running
+    digest, so it holds `chunk` bytes, never a file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    listed = spark.createDataFrame([(unquote(f),) for f in files], "path string").repartition(max(1, len(files)))
+
+    def digests(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, name = _file(path)
+                info = system.get_file_info(name)
+                row = {"path": path, "sha256": file_digest(path, chunk), "size": info.size, "modified": info.mtime}
+                yield pa.RecordBatch.from_pylist([row], MANIFEST)
+
+    return listed.mapInArrow(digests, "path string, sha256 string, size long, modified timestamp")
+
+
+MANIFEST = pa.schema([("path", pa.string()), ("sha256", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
 
 
 def compare_manifests(before: DataFrame, after: DataFrame) -> DataFrame:

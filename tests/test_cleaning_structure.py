@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -126,6 +128,26 @@ def test_manifest_detects_changes(spark, tmp_path):
     assert got == {"a.csv": "same", "b.csv": "changed", "c.csv": "added"}
 
 
+def test_manifest_reads_files_in_pieces(spark, tmp_path):
+    """Digests of an empty file, one of odd length and one of many pieces, in a folder with odd names."""
+    folder = tmp_path / "a b" / "ü c"
+    folder.mkdir(parents=True)
+    contents = {"empty": b"", "odd": b"x" * 1001, "large": bytes(range(256)) * 20_000}
+    for name, data in contents.items():
+        (folder / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.sha256, r.size) for r in tables.source_manifest(spark, str(tmp_path), chunk=1000).collect()}
+    assert got == {k: (hashlib.sha256(v).hexdigest(), len(v)) for k, v in contents.items()}
+
+
+def test_gap_days_round_ties_to_even(spark):
+    rows = series(spark, [(0, 1.0, 1.0, 1.0), (3, 1.0, 1.0, 1.0), (12, 1.0, 1.0, 1.0)])
+    assert sorted(column_of(structure.time_gaps(rows), "duration_days")) == [0.12, 0.38]  # 3 / 24 and 9 / 24
+
+
+def column_of(df, name):
+    return [r[name] for r in df.collect()]
+
+
 def test_case_window_and_lookup(spark):
     rows = series(spark, [(i, float(i), 1.0, 1.0) for i in range(20)])
     cases = spark.createDataFrame([("A", START.replace(hour=10, minute=30))], "station_id string, event_time timestamp_ntz")

@@ -138,6 +138,19 @@ def test_neighbours(spark):
     assert got.spatial_reasons == ["Neighboring station Near data is missing or empty."]
 
 
+def test_differences_round_by_their_binary_value():
+    """6.005 is a little less than that in binary: it rounds to 6.0, which is within the tolerance."""
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    from fieldwatch.functions.text import round_even
+
+    values = [6.005, 2.675, 0.125, 0.375, -6.005, 6.015, 1e6 + 0.005]
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.r for r in df.select(round_even(F.col("v"), 2).alias("r")).collect()] == [round(v, 2) for v in values]
+
+
 def test_recovery_of_the_known_event(spark):
     rows = qc.quality_control(series(spark, EVENT))
     rows = rows.withColumn("flagged", F.lit(True)).withColumn(
