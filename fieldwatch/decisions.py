@@ -68,7 +68,7 @@ def training_rows(observations: DataFrame, s: Settings) -> DataFrame:
     return cut(table.join(qc.select(*KEYS, (F.col("qc_flag") != "PASSED").alias("flagged")), KEYS), "features")
 
 
-def _fit_forest(rows: DataFrame, s: Settings) -> dict[str, DataFrame]:
+def fit_forest_models(rows: DataFrame, s: Settings) -> dict[str, DataFrame]:
     """Forest, offset and score bounds from the training rows with all features."""
     train = rows.where(F.col("split") == "train")
     scaler = cut(features.fit_scaler(train.where("valid_features"), FEATURES), "scaler")
@@ -106,15 +106,17 @@ def fit_on(rows: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     """The models, from rows as `training_rows` gives them."""
     clean_train = rows.where((F.col("split") == "train") & ~F.col("flagged"))
     scaler, limit = multivariate.fit_changes(clean_train)
-    return {**_fit_forest(rows, settings), **_fit_windows(rows, settings), "change_scaler": scaler, "change_limit": limit}
+    return {**fit_forest_models(rows, settings), **_fit_windows(rows, settings), "change_scaler": scaler, "change_limit": limit}
 
 
-def forest_scores(rows: DataFrame, models: dict[str, DataFrame]) -> DataFrame:
-    """iforest_score and iforest_flag per row."""
-    scaled = features.scale(rows, models["forest_scaler"], FEATURES).select(*KEYS, *SCALED)
-    raw = forest.score_forest(scaled, models["forest_nodes"], SCALED).select(*KEYS, "raw_score")
+def forest_scores(rows: DataFrame, models: dict[str, DataFrame], keep: tuple[str, ...] | None = None) -> DataFrame:
+    """iforest_score and iforest_flag per row; with other columns to keep, also decision_score."""
+    held = keep or ()
+    scaled = features.scale(rows, models["forest_scaler"], FEATURES).select(*KEYS, *held, *SCALED)
+    raw = forest.score_forest(scaled, models["forest_nodes"], SCALED).select(*KEYS, *held, "raw_score")
     out = forest.normalize_scores(forest.decide(raw, models["forest_offset"]), models["forest_bounds"], "decision_score", "iforest_score")
-    return out.select(*KEYS, "iforest_score", F.when(F.col("decision_score").isNotNull(), F.col("anomaly_flag")).alias("iforest_flag"))
+    flag = F.when(F.col("decision_score").isNotNull(), F.col("anomaly_flag")).alias("iforest_flag")
+    return out.select(*KEYS, *held, "iforest_score", flag, *([] if keep is None else ["decision_score"]))
 
 
 def sequence_errors(windows: DataFrame, models: dict[str, DataFrame]) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, FEATURES, SEQUENCE_ROWS
+from fieldwatch.decisions import Settings
 from fieldwatch.operators import forest, sequences
 from fieldwatch.operators.cleaning import split_by_fraction
 from fieldwatch.operators.features import fit_scaler, scale
@@ -16,6 +17,7 @@ from fieldwatch.plans.sqltext import DENSE, sql
 from fieldwatch.plans.q_features import split_features
 from fieldwatch.session import cut, work_path
 from fieldwatch.sources.models import load_model, save_model
+from fieldwatch.training import train_forest
 
 cat = Catalog()
 KEYS = ["station_id", "timestamp"]
@@ -175,3 +177,19 @@ def fixed_forest_sql(name):
     return f"""forest_flags AS (SELECT station_id, "timestamp", round(-pow(2, -((a + b) / 2) / {_mean_path(256)}), 9) < {FIXED_OFFSET} AS iforest_flag FROM (
   SELECT *, CASE WHEN temperature <= -15 THEN CASE WHEN humidity <= 60 THEN 2.0::DOUBLE ELSE 2 + {_mean_path(99)} END ELSE 1 + {_mean_path(156)} END AS a,
     CASE WHEN humidity <= 45 THEN 1 + {_mean_path(6)} ELSE 1 + {_mean_path(250)} END AS b FROM {name} WHERE temperature IS NOT NULL AND humidity IS NOT NULL))"""
+
+
+@cat.query(
+    sql(
+        DENSE,
+        body="""SELECT CASE WHEN "timestamp" < TIMESTAMP '2024-01-16' THEN 'train' WHEN "timestamp" < TIMESTAMP '2024-01-24' THEN 'validation' ELSE 'test' END AS split,
+  count(*) AS rows, min("timestamp") AS first, max("timestamp") AS last, true AS rate_as_asked, true AS counts_agree FROM dense WHERE "timestamp" >= TIMESTAMP '2024-01-03' GROUP BY 1""",
+    )
+)
+def forest_training(spark, d):
+    """The forest fitted by date, with its report: the training period's rate is the contamination
+    asked for, and the report's counts are those of the scored rows."""
+    done = train_forest(dense(spark, d), "2024-01-03", "2024-01-16", "2024-01-24", Settings(trees=50, contamination=0.03))
+    counted = done.scored.groupBy("split").agg(F.count_if("iforest_flag").alias("_n"))
+    as_asked = (F.col("split") != "train") | (F.abs(F.col("anomaly_pct") - 3.0) <= 0.5)
+    return done.report.join(counted, "split").select("split", "rows", "first", "last", as_asked.alias("rate_as_asked"), (F.col("_n") == F.col("anomalies")).alias("counts_agree"))
