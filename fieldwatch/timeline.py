@@ -37,14 +37,28 @@ def _tie_break(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
 
 
-def _bucket(ts: Column, unit: str) -> Column:
+#: Columns that spread rows without a time; the others need not be read to count rows.
+SPREAD_BY = ("temperature", "pressure", "humidity", "value", "id", "event_id")
+
+
+def _spread(df: DataFrame) -> Column:
+    """Number of the bucket among those of rows without a time.
+
+    Counting rows per bucket is a pass of its own over the input, so this touches few of
+    its columns.
+    """
+    return F.pmod(F.xxhash64(F.lit(0), *[F.col(c) for c in SPREAD_BY if c in df.columns]), F.lit(_UNDATED_BUCKETS))
+
+
+def _bucket(df: DataFrame, ts: Column, unit: str) -> Column:
+    """Time bucket of a row."""
     day = F.unix_date(F.to_date(ts)).cast("long")
     number = {
         "day": day,
         "hour": day * 24 + F.hour(ts),
         "minute": (day * 24 + F.hour(ts)) * 60 + F.minute(ts),
     }[unit]
-    return F.coalesce(number, F.lit(_UNDATED) + F.pmod("_tie", F.lit(_UNDATED_BUCKETS)))
+    return F.coalesce(number, F.lit(_UNDATED) + _spread(df))
 
 
 class Timeline:
@@ -71,8 +85,8 @@ class Timeline:
         size = int(conf(spark, BLOCK_ROWS, "65536"))
         unit = conf(spark, BLOCK_BUCKET, "day")
         self.station, self.ts = station, ts
-        df = df.withColumn("_tie", _tie_break(df))
-        key, bucket = F.col(station), _bucket(F.col(ts), unit)
+        df = df.withColumn("_tie", F.struct(_spread(df).alias("part"), _tie_break(df).alias("hash")))
+        key, bucket = F.col(station), _bucket(df, F.col(ts), unit)
 
         by_time = Window.partitionBy("_st").orderBy("_bk")
         start, end, blk = F.col("_c"), F.col("_c") + F.col("_n"), F.col("_b")
@@ -120,7 +134,7 @@ class Timeline:
             .withColumn("_core", F.col("_blk") == F.col("_b"))
             .drop("_st", "_bk", "_b", "_to")
         )
-        undated = F.when(F.col(ts).isNull(), F.pmod("_tie", F.lit(_UNDATED_BUCKETS)))
+        undated = F.when(F.col(ts).isNull(), F.col("_tie.part"))
         order = [F.col(ts).asc_nulls_last(), undated, *tie, "_tie"]
         self.w = Window.partitionBy(station, "_blk").orderBy(*order)
         self.upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
