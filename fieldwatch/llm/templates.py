@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.llm.common import stored
+from fieldwatch.llm.common import likely_in, stored
 
 #: Leading tokens that pick a leaf, documents a template must recur in, constant share of its tokens.
 DEPTH, LEAST_DOCS, CONSTANT_SHARE = 2, 5, 0.8
@@ -63,6 +63,9 @@ def recurring_lines(docs: DataFrame, hashed: DataFrame, id_col: str, text_col: s
     lines = with_forms(told, "text").select("doc", F.explode(F.array_distinct("forms")).alias("form")).where("form <> ''")
     lines = lines.withColumn("leaf", _leaf(F.col("form"), depth))
     busy = hashed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).select("leaf")
+    busy = stored(busy, "busy-leaves")
+    # Most lines stand in a leaf of their own; their texts need not travel.
+    lines = likely_in(lines, F.col("leaf"), busy, F.col("leaf"))
     kept = lines.join(busy, "leaf", "left_semi").groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
     kept = stored(kept.withColumn("id", F.xxhash64("form")), "line-forms")
     tokens = kept.select(
@@ -98,12 +101,18 @@ def dedup_lines(
     Nulls and corner cases: null text stays null (0 lines); empty text has one blank
     line; blank lines are never dropped, and a text may lose all others; a null id is
     the last in order; rows that repeat an id count as one document each, and a row
-    loses what its id's rows lose; other columns pass through.
+    loses what its id's rows lose; other columns pass through, whatever their names, but
+    for n_lines and n_removed, which are replaced; an empty table gives no rows; a text of
+    any length is split and put together as a whole, in one task.
     """
+    named = [(f"c{k}", c) for k, c in enumerate(docs.columns)]
+    of = {c: k for k, c in named}
+    docs, id_col, text_col = docs.toDF(*[k for k, _ in named]), of[id_col], of[text_col]
     hashed = stored(hashed_lines(docs, id_col, text_col, depth), "line-hashes")
     recurring = recurring_lines(docs, hashed, id_col, text_col, depth, least_docs, share)
     recurring = stored(recurring.select(F.unhex(F.md5("form")).alias("form_hash"), F.col("first.hash").alias("first_hash")), "recurring-lines")
     lines = hashed.select(F.col("doc.id").alias("line_doc"), F.col("doc.hash").alias("hash"), "form_hash")
+    lines = likely_in(lines, F.col("form_hash"), recurring, F.col("form_hash"))
     dropped = lines.join(recurring, "form_hash").where("hash <> first_hash")
     by_doc = dropped.groupBy("line_doc").agg(F.collect_set("form_hash").alias("gone_forms"))
     joined = docs.join(by_doc, docs[id_col].eqNullSafe(F.col("line_doc")), "left")
@@ -112,11 +121,11 @@ def dedup_lines(
     gone = F.transform("forms", lambda x: F.array_contains(F.col("gone_forms"), F.unhex(F.md5(x))))
     cut = cut.withColumn("_gone", gone).withColumn("_lines", F.split("_cut", "\n"))
     stay = F.array_join(F.filter("_lines", lambda x, i: ~F.element_at("_gone", i + 1)), "\n")
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(stay).alias(text_col)
+    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(stay)
     ends = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     removed = F.size(F.filter("_gone", lambda x: x))
     return cut.select(
-        *[text if c == text_col else docs[c] for c in docs.columns],
+        *[(text if k == text_col else F.col(k)).alias(c) for k, c in named if c not in ("n_lines", "n_removed")],
         F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_cut").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
     )

@@ -7,13 +7,25 @@ import pytest
 
 from fieldwatch.llm import mixing, templates, toxicity
 
-DOCS = "doc_id long, text string, n_lines string, source string"
+# Names of results and of helper columns ride along as extra columns.
+EXTRA = ["forms", "_t1", "_t3", "_cut", "_lines", "_gone", "gone_forms", "line_doc", "form_hash", "hash", "leaf", "form", "doc", "c0", "c1"]
+DOCS = "doc_id long, text string, n_lines string, n_removed string, source string, " + ", ".join(f"{c} string" for c in EXTRA)
 
 
 def lines_of(spark, texts, **options):
-    df = spark.createDataFrame([(k, t, "clash", "s") for k, t in texts], DOCS)
-    out = templates.dedup_lines(df.drop("n_lines"), **options).collect()
-    return {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out}
+    df = spark.createDataFrame([(k, t, "clash", "clash", "s", *EXTRA) for k, t in texts], DOCS)
+    out = templates.dedup_lines(df, **options)
+    assert out.columns == ["doc_id", "text", "source", *EXTRA, "n_lines", "n_removed"]
+    rows = out.collect()
+    assert all([r[c] for c in EXTRA] == EXTRA for r in rows)
+    return {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in rows}
+
+
+def test_lines_of_long_texts_and_no_rows(spark):
+    long = "\n".join(f"word{k} alone on its line" for k in range(20_000))
+    got = lines_of(spark, [(k, f"{long}\nshared line of all five\nend {k}") for k in range(2)] + [(k, "shared line of all five") for k in range(2, 7)])
+    assert [got[k][2] for k in range(7)] == [0] + [1] * 6 and got[1][1] == 20_002
+    assert spark.createDataFrame([], DOCS).transform(templates.dedup_lines).count() == 0
 
 
 def test_templates_generalise_variable_fields(spark):
@@ -37,6 +49,44 @@ def test_copies_of_the_first_document_keep_its_lines(spark):
     assert lines_of(spark, [(1, "a")]) == {1: ("a", 1, 0)}
 
 
+def test_each_row_is_taken_for_itself(spark):
+    """Ids that repeat with texts of different length, and null ids: no row more often than twice."""
+    rows = [(k // 3 if k % 4 else None, f"row{k} " * (1 + k % 7), "ab"[k % 2], k, "x", "y") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key int, copies string, row_no string").repartition(3)
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns
+    times = defaultdict(int)
+    for r in out.collect():
+        assert r.text == rows[r.key][1] and r.doc_id == rows[r.key][0]
+        times[r.key] += 1
+    plan = mixing.mix_sources(df).collect()
+    assert sum(times.values()) == sum(r.copies for r in plan) and max(times.values()) <= 2
+    assert mixing.mix_documents(df.limit(0)).count() == 0
+
+
+def test_loops_that_do_not_end_say_so(spark):
+    import fieldwatch.llm.components as c
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        c.components(chain, most_rounds=1)
+    cells = spark.createDataFrame([(0, 5, 10, 1.0, 100, 20.0, 60.0), (0, 9, 5, 1.8, 100, 20.0, 60.0)], "source_no int, size long, n long, x double, source_size long, scale double, target double")
+    with pytest.raises(RuntimeError):
+        mixing.balance(cells, most_steps=1)
+
+
+def test_the_bounded_filter_keeps_every_key(spark):
+    from pyspark.sql import functions as F
+
+    from fieldwatch.llm.common import likely_in
+
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") % 5).alias("_slot_bits"))
+    keys = spark.range(0, 20_000, 40).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    kept = likely_in(rows, F.col("key"), keys, F.col("k"))
+    assert kept.columns == ["key", "_slot_bits"] and kept.join(keys, F.col("key") == F.col("k")).count() == 500 and kept.count() < 520
+    assert likely_in(rows, F.col("key"), keys.limit(0), F.col("k")).count() == 0
+
+
 def mixed(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     return mixing.mix_sources(df)
@@ -136,3 +186,26 @@ def test_gradients_lower_the_loss():
     model = toxicity.train(flat, first, rows["toxic"])
     value = toxicity.logits(model, *toxicity._windows(model.index[flat], first), 80)
     assert ((value > 0) == (rows["toxic"].to_numpy() == 1)).all()
+
+
+def test_scores_equal_a_plain_loop():
+    """Embeddings summed, each filter over every place of the padded text, the largest response kept."""
+    draw = np.random.default_rng(11)
+    texts = ["", "a", "bad words here and bad again", "fine text with nothing in it", "bad", "x " * 40 + "bad words"] * 4
+    labels = [0, 0, 1, 0, 1, 1] * 4
+    words, first = toxicity.hashed_words(texts)
+    model = toxicity.train(words, first, labels, epochs=2)
+    model.embedding[1:] += draw.normal(0, 0.3, model.embedding[1:].shape)
+    got = toxicity.logits(model, *toxicity._all_windows(model.index, words, first), len(texts))
+    for k in range(len(texts)):
+        own = [model.embedding[model.index[w]].sum(axis=0) for w in words[first[k] : first[k + 1]]]
+        zero = np.zeros(model.embedding.shape[1])
+        longest = max(toxicity.WIDTHS)
+        pooled = []
+        for width, (a, b) in zip(toxicity.WIDTHS, model.filters):
+            best = np.maximum(b, 0)
+            for at in range(-longest + 1, len(own) + 1):
+                window = [own[i] if 0 <= i < len(own) else zero for i in range(at, at + width)]
+                best = np.maximum(best, sum(x @ w for x, w in zip(window, a)) + b)
+            pooled.append(best)
+        assert got[k] == pytest.approx(np.concatenate(pooled) @ model.weights + model.bias)
