@@ -44,6 +44,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
         seen = mark
         state = stored(_small_star(_large_star(state)), "edges")
+    else:
+        raise RuntimeError(f"components still move after {most_rounds} rounds")
     return state.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         state.select("lo", "lo").distinct()
     )

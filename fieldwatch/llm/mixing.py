@@ -88,6 +88,8 @@ def balance(cells: DataFrame, cap: float = 2.0, tolerance: float = 1e-6, most_st
         worst = state.agg(F.max(F.when(F.col("high") - F.col("low") > 1e-13 * F.greatest(F.lit(1.0), F.abs("high")), F.col("off")))).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"a source misses its target by a factor of exp({worst}) after {most_steps} steps")
     return state.select("source_no", "lam")
 
 
@@ -138,6 +140,7 @@ def mix_sources(
     weights=(3, 1, 2),
     total_share: float = 1.5,
     cap: float = 2.0,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Copies of each document so that every source's tokens come near its target.
 
@@ -150,15 +153,18 @@ def mix_sources(
 
     Nulls and corner cases: null or blank text has size 0, gets rate 1 and takes no
     words; a null source is a source of its own, last in order; a source without words
-    has target 0; rows that repeat an id are separate documents; other columns are
-    ignored; an empty table gives no rows.
+    has target 0; rows that repeat an id are separate documents (`row_col`, a unique key of
+    the rows, comes back with each); other columns are ignored, whatever their names; a text
+    of any length only counts; an empty table gives no rows.
     """
+    row = [F.col(row_col).alias("row")] if row_col else []
     if docs.schema[source_col].dataType.simpleString() != "string":
         docs = docs.withColumn(source_col, F.col(source_col).cast("string"))
     sizes = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *row,
     )
     sizes = stored(sizes, "mix-sizes")
     counted = stored(sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
@@ -196,9 +202,27 @@ def mix_sources(
         .withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
         .drop("rows")
     )
-    ranked = placed.where("odd > 0").withColumn("row", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id")))
-    extra = ranked.join(starts, [*cell, "bucket"]).withColumn("more", (F.col("before") + F.col("row") <= F.col("odd")).cast("long"))
-    keep = ["doc_id", "source", "size", "source_size", "target", "rate", "base", "more"]
+    order = ["hash", "doc_id", *(["row"] if row else [])]
+    ranked = placed.where("odd > 0").withColumn("place", F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy(*order)))
+    extra = ranked.join(starts, [*cell, "bucket"]).withColumn("more", (F.col("before") + F.col("place") <= F.col("odd")).cast("long"))
+    given = ["row"] if row else []
+    keep = ["doc_id", "source", "size", "source_size", "target", "rate", "base", "more", *given]
     both = extra.select(*keep).unionByName(placed.where("odd = 0").withColumn("more", F.lit(0).cast("long")).select(*keep))
     copies = F.col("base") + F.col("more")
-    return both.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *given)
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; settings as in mix_sources.
+
+    Rows are numbered and stored first, so rows that repeat an id, or have none, are taken
+    each for itself.  Columns of any name pass through; an empty table stays empty.
+    """
+    names = docs.columns
+    work = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    work = stored(work.withColumn("row_no", F.monotonically_increasing_id()), "mix-rows")
+    taken = mix_sources(work, at[id_col], at[text_col], at[source_col], row_col="row_no", **settings)
+    copies = taken.where("copies > 0").select(F.col("row").alias("row_no"), "copies")
+    out = work.join(copies, "row_no").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(at[c]).alias(c) for c in names])

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwatch.llm.common import stored
+from fieldwatch.llm.common import likely_in, stored
 from fieldwatch.llm.components import components
 from fieldwatch.llm.simhash import MOST_SHARDS, SAMPLE_PER_SHARD, SHARD_ROWS, _leaf_pairs, _majority, _route, grow_tree, shingle_hashes
 
@@ -111,8 +111,10 @@ def shard_candidates(prints, sizes, sketches, lengths, home, label, similarity:
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """a, b of the pairs whose shingle sets are that similar, decided on the whole sets."""
     pairs = stored(pairs.distinct(), "near-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id"), F.col("a_print").alias("fingerprint")).union(pairs.select("b", "b_print")).distinct()
-    needed = stored(sets.select("doc_id", "fingerprint", "shingles").join(ends, ["doc_id", "fingerprint"], "left_semi"), "near-sets", **SMALL_GROUPS)
+    ends = stored(pairs.select(F.col("a").alias("doc_id"), F.col("a_print").alias("fingerprint")).union(pairs.select("b", "b_print")).distinct(), "near-ends")
+    key = F.struct("doc_id", "fingerprint")
+    # The sets of texts without a candidate, most of them, stay where they are.
+    needed = likely_in(sets.select("doc_id", "fingerprint", "shingles"), key, ends, key)
     x = needed.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("a_print"), F.col("shingles").alias("a_set"))
     y = needed.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("b_print"), F.col("shingles").alias("b_set"))
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("double")
@@ -206,6 +208,9 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Rows with a null id stay; rows that repeat the smallest id of a component all stay.
     """
-    decided = near_copies(docs, shingle, similarity, id_col, text_col)
+    names = docs.columns
+    work = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    decided = near_copies(work, shingle, similarity, at[id_col], at[text_col])
     gone = decided.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    return work.join(gone, work[at[id_col]].cast("long") == F.col("gone_id"), "left_anti").toDF(*names)

@@ -223,6 +223,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, most_bits: int = 3,
 
     Rows with a null id stay; rows that repeat the smallest id of a component all stay.
     """
-    decided = near_duplicates(docs, shingle, most_bits, id_col, text_col)
+    names = docs.columns
+    work = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    decided = near_duplicates(work, shingle, most_bits, at[id_col], at[text_col])
     gone = decided.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    return work.join(gone, work[at[id_col]].cast("long") == F.col("gone_id"), "left_anti").toDF(*names)

@@ -242,8 +242,9 @@ def read_token_files(manifest: DataFrame, folder: str, wide: bool = False, step:
                         {"doc_id": np.array(docs[a:b]), "start": at[:-1] + first, "n_tokens": np.diff(at), "ids": [flat[x:y] for x, y in zip(cut, cut[1:])]}
                     )
 
-    shards = manifest.select("shard", "base")
-    return shards.repartition("shard").mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
+    # A task for each shard: a stated number of partitions is not put together again.
+    shards = manifest.select("shard", "base").repartition(max(1, manifest.count()))
+    return shards.mapInPandas(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_folder(spark) -> str:

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == len([n for n in names if n.startswith("operational")]) + 10
+    assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == len([n for n in names if n.startswith("operational")]) + 13
 
 
 def test_stages_take_effect(spark):

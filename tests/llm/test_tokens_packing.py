@@ -73,6 +73,27 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), public_tokenizers.path(FILES[0])).count() == 0
 
 
+def test_sequences_over_several_partitions(spark):
+    """Offsets are gapless from 0, sequences full, their ids apart, whatever partition made them."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["one", "two", "Σας", "x1,"]) for _ in range(draw.choice([0, 3, 40, 700, 2500]))) for _ in range(120)]
+    df = spark.createDataFrame([(k % 50, t, "clash") for k, t in enumerate(texts)], SCHEMA).repartition(5)
+    rows = packing.pack_documents(df, public_tokenizers.path(FILES[0])).collect()
+    sequences, groups = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        groups.setdefault(r.step_group, set()).add(r.context)
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at and r.length > 0
+            at += r.length
+        assert at == pieces[0].context and (at == 1024 or at & (at - 1) == 0)
+        assert len({(r.context, r.step_group) for r in pieces}) == 1
+    assert len({k >> 36 for k in sequences}) == 5 and all(len(c) == 1 for c in groups.values())
+    assert sum(r.length for r in rows) == sum(len(x) + 1 for x in plain(FILES[0], texts))
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_token_files_round_trip(spark, tmp_path, wide):
     texts = ["b c", None, "", "word " * 500, "été\nhier", "b c"]
@@ -87,5 +108,6 @@ def test_token_files_round_trip(spark, tmp_path, wide):
         flat = np.array([*ids, 1], "<u4").tobytes()
         assert (r.doc_id, r.start, r.n_tokens, zlib.crc32(bytes(r.ids))) == (key, at, len(ids) + 1, zlib.crc32(flat))
         at += len(ids) + 1
+    assert tokens.read_token_files(manifest, f"file://{folder}", wide=wide).rdd.getNumPartitions() == manifest.count()
     empty = tokens.write_token_files(df.limit(0), public_tokenizers.path(FILES[1]), folder)
     assert tokens.read_token_files(empty, folder).count() == 0
