@@ -15,8 +15,10 @@ from fieldwatch.llm.simhash import MOST_SHARDS, SAMPLE_PER_SHARD, SHARD_ROWS, _l
 #: Bits at which pairs are looked at: at similarity 0.8 fingerprints differ in 9.7 bits on average (deviation 2.9),
 #: those of texts with up to SHORT shingles in up to 12 (deviation 3.1).
 BITS, SHORT, SHORT_BITS = 20, 16, 26
-#: Smallest shingle hashes kept per text; of these, so many (in proportion) must be shared to go on to the full sets.
-SKETCH, LEAST_SHARED = 32, 0.4
+#: A sketch deals a text's shingle hashes into so many bins and keeps four bits of the smallest one in each.
+BINS = 256
+#: Deviations by which a pair's sketches may differ more than those of texts at the least similarity do on average.
+DEVIATIONS = 4
 #: Size bands in a factor of 1/similarity.  A text is compared in its own band and the next so many.
 BANDS = 4
 LEAF = 1024
@@ -24,6 +26,14 @@ LEAF = 1024
 SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false"}
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """BINS values of four bits: of a bin's smallest hash (ascending distinct hashes are given), 0 for an empty bin."""
+    bins, first = np.unique(hashes & np.uint64(BINS - 1), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = (hashes[first] >> np.uint64(8)) % np.uint64(15) + np.uint64(1)
+    return (out[::2] | out[1::2] << 4).tobytes()
+
+
 def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, size (distinct shingles), sketch, shingles (sorted distinct hashes) of every whole text."""
 
@@ -35,7 +45,7 @@ def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
                 prints = pa.array(np.array([_majority(h) for h in hashes], np.uint64).view(np.int64))
                 sets = [np.unique(h) for h in hashes]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                sketches = pa.array([(h[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for h in sets], pa.binary())
+                sketches = pa.array([sketch(h) for h in sets], pa.binary())
                 flat = pa.array(np.concatenate(sets).view(np.int64))
                 columns = [part.column(0), prints, pa.array(np.diff(ends)), sketches, pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint", "size", "sketch", "shingles"])
@@ -50,34 +60,34 @@ def _band(size, similarity: float):
     return F.floor(F.log(size) * (BANDS / -np.log(similarity)) + 1e-9)
 
 
-def _sketches(column) -> tuple[np.ndarray, np.ndarray]:
-    """One row of SKETCH ascending values per text and their number; missing ones are above any value."""
-    lengths = np.array([len(x) // 4 for x in column], np.int64)
-    out = np.full((len(lengths), SKETCH), 1 << 32, np.int64)
-    out[np.arange(SKETCH) < lengths[:, None]] = np.frombuffer(b"".join(column), "<u4")
-    return out, lengths
-
-
-def _shared(sketches, lengths, a, b) -> np.ndarray:
-    """Estimated similarity of pairs: the shared part of the smallest hashes of both; exact for short texts."""
-    out = np.zeros(len(a))
-    for k in range(0, len(a), 10_000):
-        x, y = a[k : k + 10_000], b[k : k + 10_000]
-        # Among the eight smallest hashes of each, none is shared in 3 of a million pairs at 0.8.
-        near = np.flatnonzero((sketches[x, :8, None] == sketches[y, None, :8]).any(axis=(1, 2)))
-        both = np.sort(np.concatenate((sketches[x[near]], sketches[y[near]]), axis=1), axis=1)
-        real = both < 1 << 32
-        again = np.zeros(both.shape, bool)
-        again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-        rank = np.cumsum(real & ~again, axis=1)
-        # Where both texts are complete in their sketches, all of the union counts.
-        limit = np.where((lengths[x[near]] < SKETCH) & (lengths[y[near]] < SKETCH), 2 * SKETCH, SKETCH)[:, None]
-        counted = real & (rank <= limit)
-        out[k + near] = (again & counted).sum(axis=1) / (~again & counted).sum(axis=1)
+def _bins(words: np.ndarray) -> np.ndarray:
+    """Values of four bits that are not zero, counted in each row of words."""
+    words = words | words >> np.uint64(1)
+    words |= words >> np.uint64(2)
+    return np.bitwise_count(words & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def alike(sketches: np.ndarray, a, b, similarity: float, deviations: float) -> np.ndarray:
+    """Pairs whose sketches differ in no more bins than texts of that similarity do, and some deviations.
+
+    A bin that either text fills differs where its smallest hash is in one text only, but
+    for one in 15 such cases.  A quarter of the bins rules out most pairs.
+    """
+    differ = (1 - similarity) * 14 / 15
+    room = (differ * (1 - differ)) ** 0.5
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), 50_000):
+        at = np.arange(k, min(k + 50_000, len(a)))
+        for part in (slice(0, BINS // 64), slice(0, BINS // 16)):
+            x, y = sketches[a[at], part], sketches[b[at], part]
+            filled = _bins(x | y)
+            more = deviations if part.stop == BINS // 16 else max(deviations, DEVIATIONS + 1)
+            at = at[_bins(x ^ y) <= differ * filled + more * room * np.sqrt(filled) + 1e-9]
+        out[at] = True
     return out
 
 
-def shard_candidates(prints, sizes, sketches, lengths, home, label, similarity: float, most: int, hubs: bool, leaf: int = LEAF):
+def shard_candidates(prints, sizes, sketches, home, label, similarity: float, most: int, hubs: bool, leaf: int = LEAF):
     """(i, j) of candidate pairs with different labels.
 
     With `hubs`, each row is paired with one row only, likely a near copy.  So a large
@@ -92,8 +102,7 @@ def shard_candidates(prints, sizes, sketches, lengths, home, label, similarity:
         if hubs:
             open_ &= hub[b] < 0
         a, b = a[open_], b[open_]
-        shared = _shared(sketches, lengths, a, b)
-        near = shared >= (similarity if hubs else LEAST_SHARED)
+        near = alike(sketches, a, b, similarity, 0 if hubs else DEVIATIONS)
         if hubs:
             a, b = a[near], b[near]
             b, first = np.unique(b, return_index=True)
@@ -181,9 +190,9 @@ def near_copies(
         def find(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values(["first", "fingerprint"], kind="stable")
             first, prints, home = rows["first"].to_numpy(np.int64), rows["fingerprint"].to_numpy(np.int64), rows["home"].to_numpy(bool)
-            sketches, lengths = _sketches(rows["sketch"])
+            sketches = np.frombuffer(b"".join(rows["sketch"]), "<u8").reshape(len(rows), -1)
             most = reach(int(rows["band"].iloc[0]))
-            a, b = shard_candidates(prints.view(np.uint64), rows["size"].to_numpy(), sketches, lengths, home, rows["label"].to_numpy(np.int64), similarity, most, hubs)
+            a, b = shard_candidates(prints.view(np.uint64), rows["size"].to_numpy(), sketches, home, rows["label"].to_numpy(np.int64), similarity, most, hubs)
             return pd.DataFrame({"a": first[a], "a_print": prints[a], "b": first[b], "b_print": prints[b]})
 
         return find

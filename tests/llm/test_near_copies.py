@@ -51,6 +51,38 @@ def test_all_pairs_of_brute_force_are_linked(spark, shard_rows):
     assert got == want
 
 
+def pairs_at(similarity, sizes, seed):
+    """Sketches of pairs of random sets with that similarity, one pair for each size of the union."""
+    r, rows = np.random.default_rng(seed), []
+    for n in sizes:
+        union = r.integers(0, 2**64, n, dtype=np.uint64)
+        apart = n - round(similarity * n)
+        rows += [np.unique(union[: n - apart // 2]), np.unique(union[apart - apart // 2 :])]
+    sketches = np.frombuffer(b"".join(near_copies.sketch(x) for x in rows), "<u8").reshape(len(rows), -1)
+    return sketches, np.arange(0, len(rows), 2), np.arange(1, len(rows), 2)
+
+
+def test_sketches_keep_pairs_at_the_limit_and_refuse_related_ones():
+    sizes = np.random.default_rng(1).integers(10, 1500, 3000)
+    assert near_copies.alike(*pairs_at(0.81, sizes, 2), 0.8, near_copies.DEVIATIONS).all()
+    large = sizes[sizes > 200]
+    assert near_copies.alike(*pairs_at(0.56, large, 3), 0.8, near_copies.DEVIATIONS).sum() <= 3
+    assert not near_copies.alike(*pairs_at(0.0, large, 4), 0.8, near_copies.DEVIATIONS).any()
+    assert near_copies.alike(*pairs_at(1.0, [1, 2, 3, 400], 5), 0.8, 0).all()
+
+
+def test_a_family_of_related_texts_gives_few_candidates():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**64, 300, dtype=np.uint64)
+    # Each text keeps 72 % of the family's shingles, so two of them share about 0.56.
+    sets = [np.unique(np.concatenate((base[r.random(300) < 0.72], r.integers(0, 2**64, 1, dtype=np.uint64)))) for _ in range(800)]
+    sketches = np.frombuffer(b"".join(near_copies.sketch(x) for x in sets), "<u8").reshape(len(sets), -1)
+    prints = np.array([simhash._majority(x) for x in sets], np.uint64)
+    sizes, label = np.array([len(x) for x in sets]), np.arange(len(sets))
+    a, b = near_copies.shard_candidates(prints, sizes, sketches, np.ones(len(sets), bool), label, 0.8, 26, False)
+    assert len(a) < 2 * len(sets)
+
+
 def test_stage_of_the_pipeline_keeps_one_of_each_group(spark):
     texts = planted(5)
     df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
