@@ -11,8 +11,8 @@ from fieldwatch.llm import arrays
 from fieldwatch.llm.repeats import Windows, covered, repeated_spans
 
 WINDOW, ANCHOR = 200, 60
-#: Alphabets up to this size are sorted by inducing; larger ones, in recursion, by doubling.
-INDUCED_ALPHABET = 600
+#: Alphabets up to this size are induced a bucket at a time, larger ones, in recursion, a suffix at a time.
+BUCKETED_ALPHABET = 600
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -27,7 +27,38 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 
 def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array from the sorted leftmost-smaller suffixes, one symbol's bucket at a time.
+    """Suffix array from the sorted leftmost-smaller suffixes."""
+    return (_induce_buckets if size <= BUCKETED_ALPHABET else _induce_suffixes)(t, small, leftmost, size)
+
+
+def _induce_suffixes(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) -> np.ndarray:
+    """The same, one suffix at a time: with many symbols the buckets are too small to be moved whole."""
+    ends = np.cumsum(np.bincount(t, minlength=size))
+    head, tail = np.concatenate(([0], ends[:-1])).tolist(), ends.tolist()
+    symbol, is_small, out = t.tolist(), small.tolist(), [-1] * len(t)
+    for place in leftmost[::-1].tolist():
+        c = symbol[place]
+        tail[c] -= 1
+        out[tail[c]] = place
+    out[0] = len(t) - 1
+    for k in range(len(t)):
+        place = out[k] - 1
+        if place >= 0 and not is_small[place]:
+            c = symbol[place]
+            out[head[c]] = place
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(len(t) - 1, -1, -1):
+        place = out[k] - 1
+        if place >= 0 and is_small[place]:
+            c = symbol[place]
+            tail[c] -= 1
+            out[tail[c]] = place
+    return np.array(out, np.int64)
+
+
+def _induce_buckets(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) -> np.ndarray:
+    """The same, one symbol's bucket at a time.
 
     All entries of a bucket that are known are moved on at once; entries that fall into
     the same bucket make the next wave.
@@ -73,23 +104,8 @@ def _induce(t: np.ndarray, small: np.ndarray, leftmost: np.ndarray, size: int) -
     return sa
 
 
-def _doubling(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first `depth` symbols at least."""
-    rank, step = t.astype(np.int64), 1
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: len(t) - step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        rank = np.empty_like(rank)
-        rank[order] = new
-        step *= 2
-        if new[-1] == len(t) - 1 or step >= min(depth, len(t)):
-            return order
-
-
-def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of t in order; those that share `depth` symbols may come in any order.
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Suffixes of t in order.
 
     t: whole numbers that end in a unique 0.  Suffixes are classified as smaller or
     larger than the next; the substrings between leftmost-smaller places are sorted by
@@ -114,24 +130,41 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     name = np.empty(len(place), np.int64)
     name[at] = np.concatenate(([0], np.cumsum(new)))
     if not new.all():
-        inner = suffix_array(name, depth) if int(name.max()) < INDUCED_ALPHABET else _doubling(name, depth)
-        order = place[inner]
+        order = place[suffix_array(name)]
     return _induce(t, small, order, size)
 
 
-def repeated_starts(t: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
-    """Where the next `window` symbols, all before a separator, stand elsewhere too.
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, left: np.ndarray, most: int):
+    """Predecessor of each suffix in the array, and their common prefix in text order, cut at `most`.
 
-    left: symbols up to the next separator.  Common prefixes with the neighbour in the
-    suffix array are taken in text order (permuted), cut at the window: a place is
-    repeated if it or its successor reaches that far.
+    Symbols are compared eight at a time, and only while a pair agrees.  Where a separator
+    or the end lies nearer than `most` on either side, or there is no predecessor, the
+    prefix counts as 0.
     """
-    sa = suffix_array(t, window)
     before = np.empty(len(t), np.int64)
     before[sa[1:]], before[sa[0]] = sa[:-1], sa[0]
-    here = np.flatnonzero((left >= window) & (left[before] >= window) & (np.arange(len(t)) != before))
-    sums = arrays.prefix_sums(arrays.BYTES[t & 255])
-    here = here[arrays.window_hashes(sums, here, here + window) == arrays.window_hashes(sums, before[here], before[here] + window)]
+    padded = np.concatenate((t & 255, np.zeros(most + 16, np.int64))).astype(np.uint64)
+    eight = np.zeros(len(padded) - 7, np.uint64)
+    for k in range(8):
+        eight |= padded[k : len(eight) + k] << np.uint64(8 * k)
+    shared = np.zeros(len(t), np.int64)
+    here = np.flatnonzero((left >= most) & (left[before] >= most) & (np.arange(len(t)) != before))
+    for k in range(0, most, 8):
+        apart = eight[here + k] ^ eight[before[here] + k]
+        lowest = apart & (~apart + np.uint64(1))
+        shared[here] = k + np.where(apart == 0, 8, np.bitwise_count(lowest - np.uint64(1)) // 8)
+        here = here[apart == 0]
+    return before, np.minimum(shared, most)
+
+
+def repeated_starts(t: np.ndarray, left: np.ndarray, window: int) -> np.ndarray:
+    """Where the next `window` symbols, all before a separator, stand elsewhere too.
+
+    left: symbols up to the next separator.  A place is repeated if it reaches that far
+    with its predecessor in the suffix array, or its successor does with it.
+    """
+    before, shared = permuted_prefixes(t, suffix_array(t), left, window)
+    here = np.flatnonzero(shared >= window)
     out = np.zeros(len(t), bool)
     out[here] = out[before[here]] = True
     return out

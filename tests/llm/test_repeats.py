@@ -95,9 +95,53 @@ def test_suffix_array_and_tree_nodes():
         t = np.concatenate((r.integers(1, r.integers(3, 7), r.integers(1, 150)), [0])).astype(np.int64)
         t = np.concatenate((np.tile(t[:-1], 3), [0])) if k % 3 == 0 else t
         rest = [tuple(t[i:]) for i in range(len(t))]
-        assert suffix_array.suffix_array(t, 10**6).tolist() == sorted(range(len(t)), key=rest.__getitem__)
+        assert suffix_array.suffix_array(t).tolist() == sorted(range(len(t)), key=rest.__getitem__)
         depth = int(r.integers(1, 18))
         node, seen = suffix_tree.tree_nodes(t.astype(np.uint64) + 1, depth), {}
         for i in range(len(t) - depth + 1):
             seen.setdefault(rest[i][:depth], set()).add(int(node[i]))
         assert all(len(v) == 1 for v in seen.values()) and len(set().union(*seen.values())) == len(seen)
+
+
+@pytest.mark.parametrize("bucketed", [2, 600, 10**9])
+def test_both_ways_of_inducing_give_the_same_array(bucketed, monkeypatch):
+    monkeypatch.setattr(suffix_array, "BUCKETED_ALPHABET", bucketed)
+    r = np.random.default_rng(3)
+    for size in (3, 5, 40, 900):
+        t = np.concatenate((np.tile(r.integers(1, size, 400), 3), r.integers(1, size, 700), [0])).astype(np.int64)
+        rest = [tuple(t[i:]) for i in range(len(t))]
+        assert suffix_array.suffix_array(t).tolist() == sorted(range(len(t)), key=rest.__getitem__)
+
+
+def test_natural_text_recurses_and_equals_brute_force(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
+    contents, size = [], 0
+    while size < 150_000:
+        contents.append((rows[len(contents)].text or "").encode())
+        size += len(contents[-1])
+    induced, levels = suffix_array._induce_suffixes, []
+    monkeypatch.setattr(suffix_array, "_induce_suffixes", lambda t, *rest: levels.append(len(t)) or induced(t, *rest))
+    window, data = 200, b"\0".join([*contents, b""])
+    count = {}
+    for c in contents:
+        for i in range(len(c) - window + 1):
+            count[c[i : i + window]] = count.get(c[i : i + window], 0) + 1
+    want = [(d, i) for d, c in enumerate(contents) for i in range(len(c) - window + 1) if count[c[i : i + window]] > 1]
+    ids = np.arange(len(contents))
+    doc, lo, _ = suffix_array._compare(window)(contents, ids, ids, np.zeros(len(ids), np.int64), np.ones(len(ids), bool))
+    assert want and sorted(zip(doc.tolist(), lo.tolist())) == want
+    assert len(levels) >= 2 and max(levels) > 20_000
+
+    symbols = np.concatenate((np.frombuffer(data, np.uint8).astype(np.int64) + 2, [0]))
+    symbols[:-1][symbols[:-1] == 2] = 1
+    sa = suffix_array.suffix_array(symbols)
+    ordered = symbols.astype(">u2").tobytes()
+    assert np.array_equal(np.sort(sa), np.arange(len(symbols)))
+    assert all(ordered[2 * a :] < ordered[2 * b :] for a, b in zip(sa[:-1:7].tolist(), sa[1::7].tolist()))
+    left = np.array([len(c) - i for c in contents for i in range(len(c) + 1)] + [0])
+    before, shared = suffix_array.permuted_prefixes(symbols, sa, left, window)
+    for i in range(0, len(symbols), 11):
+        j, n = int(before[i]), 0
+        while left[i] >= window and left[j] >= window and i != j and n < window and symbols[i + n] == symbols[j + n]:
+            n += 1
+        assert shared[i] == n
