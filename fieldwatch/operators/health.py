@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
 from fieldwatch.functions.text import compact_texts, round_even, tie_even
-from fieldwatch.session import cut
+from fieldwatch.session import cut, row_sized
 from fieldwatch.timeline import Timeline
 
 SPANS = {"24h": 24, "7d": 168, "30d": 720}  # rows
@@ -175,7 +175,7 @@ def parameter_health(df: DataFrame) -> DataFrame:
     # A row without a value keeps the metrics of the latest row that had one.
     rows = (
         running_state(long)
-        .join(steps, (F.col("series") == F.col("_s")) & (F.col("seen") == F.col("_t")), "left")
+        .join(row_sized(steps), (F.col("series") == F.col("_s")) & (F.col("seen") == F.col("_t")), "left")
         .drop("_s", "_t", "seen")
         .fillna(0.0, ["noise_variance", "cusum_drift"])
     )

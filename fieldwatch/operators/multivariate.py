@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldwatch.config import CHANNELS
 from fieldwatch.operators.features import fit_scaler, scale
 from fieldwatch.ranks import quantiles
+from fieldwatch.session import row_sized
 from fieldwatch.timeline import Timeline
 
 CHANGES = tuple(f"{c}_change" for c in CHANNELS)
@@ -32,7 +33,7 @@ def multivariate_batch(df: DataFrame, limit: float = LIMIT) -> DataFrame:
         *[F.avg(c).alias(f"_m_{c}") for c in CHANGES],
         *[F.stddev_samp(c).alias(f"_d_{c}") for c in CHANGES],
     )
-    out = df.join(stats, F.col("station_id").eqNullSafe(F.col("_s")))
+    out = df.join(row_sized(stats), F.col("station_id").eqNullSafe(F.col("_s")))
     out = out.withColumns(
         {f"{c}_z": (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_d_{c}"), F.lit(0.0)) for c in CHANGES}
     ).withColumn("multivariate_score", _norm(f"{c}_z" for c in CHANGES))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldwatch.session import row_sized
+
 
 def bucket(value: Column) -> Column:
     """Non-decreasing in `value`; its integer part by 2^20 is the doubling.
@@ -43,7 +45,7 @@ def running(counts: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
     return (
         counts.withColumn("_c", level)
         .withColumn("_inside", inside)
-        .join(coarse, same)
+        .join(row_sized(coarse), same)
         .withColumn("_start", F.col("_before_c") + F.col("_inside"))
         .drop("_c", "_c_c", "_inside", "_before_c", *[f"_k_{k}" for k in keys])
     )

@@ -41,6 +41,16 @@ def cut(df, name: str = "cut"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_sized(df):
+    """Marks a side of a join that grows with the rows, so that both sides are shuffled and merged.
+
+    Series compress so well, in stored tables and in shuffles, that Spark's size check takes
+    millions of rows for a small table; it would collect them on the driver and send them
+    to every executor.
+    """
+    return df.hint("merge")
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8, **extra) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster use your own."""
     builder = (

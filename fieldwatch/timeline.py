@@ -7,7 +7,9 @@ the few rows before and after it that a bounded frame needs.  Windows run per
 (station, block).  What must flow over the whole series (running counts, last seen
 value) is computed per block and handed on through one small row per block.
 
-Cost: one narrow count of rows per station and time bucket, one shuffle of the rows.
+Cost: one narrow count of rows per station and time bucket, two shuffles of the rows (to
+their bucket's place in the plan, and to their block).  Neither side of a join with the plan
+or with what blocks hand on is ever collected.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldwatch.session import BLOCK_BUCKET, BLOCK_ROWS, conf
+from fieldwatch.session import BLOCK_BUCKET, BLOCK_ROWS, conf, row_sized
 
 _UNDATED = 1 << 40  # first bucket of rows without a timestamp: they sort last
 _UNDATED_BUCKETS = 4096  # undated rows of a station are dealt over so many buckets by hash
@@ -129,7 +131,7 @@ class Timeline:
             "_st", "_bk", "_b", "_at", "_all", "_to"
         )
         self.df = (
-            df.join(plan, key.eqNullSafe(F.col("_st")) & (bucket == F.col("_bk")))
+            df.join(row_sized(plan), key.eqNullSafe(F.col("_st")) & (bucket == F.col("_bk")))
             .withColumn("_blk", F.explode("_to"))
             .withColumn("_core", F.col("_blk") == F.col("_b"))
             .drop("_st", "_bk", "_b", "_to")
@@ -191,7 +193,7 @@ class Timeline:
             *[aggs[n][1](F.col(n)).over(frame).alias(n) for n in names],
         )
         return core.join(
-            handed, F.col(self.station).eqNullSafe(F.col("_key_st")) & (F.col("_blk") == F.col("_key_blk"))
+            row_sized(handed), F.col(self.station).eqNullSafe(F.col("_key_st")) & (F.col("_blk") == F.col("_key_blk"))
         ).drop("_key_st", "_key_blk")
 
     def running_sum(self, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -237,7 +239,7 @@ class Timeline:
         )
         keep = [f"_{p}{k}" for k in inputs for p in "bf"]
         out = core.join(
-            blocks.select("_key_st", "_key_blk", *keep),
+            row_sized(blocks.select("_key_st", "_key_blk", *keep)),
             F.col(self.station).eqNullSafe(F.col("_key_st")) & (F.col("_blk") == F.col("_key_blk")),
         )
         for name, k in zip(columns, inputs):
