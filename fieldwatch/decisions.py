@@ -15,7 +15,7 @@ from fieldwatch.config import CANONICAL_NAMES, CHANNELS, FEATURES, SEQUENCE_ERRO
 from fieldwatch.operators import alerts, cleaning, features, forest, fusion, health, multivariate, recovery, sequences, spatial, structure
 from fieldwatch.operators.qc import quality_control
 from fieldwatch.operators.reconstruction import MODEL_SCHEMA, fit_reconstruction, reconstruction_errors, scaled_windows
-from fieldwatch.session import cut
+from fieldwatch.session import cut, row_sized
 from fieldwatch.streaming import state
 
 KEYS = ["station_id", "timestamp"]
@@ -65,7 +65,7 @@ def training_rows(observations: DataFrame, s: Settings) -> DataFrame:
     """Checked observations with features, `split` and `flagged`; stored."""
     qc = cut(quality_control(observations.select(*KEYS, *CHANNELS)), "checked")
     table = cleaning.split_by_fraction(features.feature_table(qc.select(*KEYS, *CHANNELS)), s.train, s.validation)
-    return cut(table.join(qc.select(*KEYS, (F.col("qc_flag") != "PASSED").alias("flagged")), KEYS), "features")
+    return cut(table.join(row_sized(qc.select(*KEYS, (F.col("qc_flag") != "PASSED").alias("flagged"))), KEYS), "features")
 
 
 def fit_forest_models(rows: DataFrame, s: Settings) -> dict[str, DataFrame]:
@@ -153,15 +153,15 @@ def signals(qc: DataFrame, scored: list[DataFrame], near: DataFrame, state: Data
     """Checked rows with the scores of all models, the neighbours' verdict and the station's health."""
     out = qc
     for scores in scored:
-        out = out.join(scores, KEYS, "left")
+        out = out.join(row_sized(scores), KEYS, "left")
     near = near.select(*KEYS, "spatial_status", "spatial_score", "spatial_agreement", "buddy_station_id")
     state = state.select(*KEYS, "overall_health_index", "overall_status", "active_alerts")
-    return out.join(near, KEYS, "left").join(state, KEYS, "left")
+    return out.join(row_sized(near), KEYS, "left").join(row_sized(state), KEYS, "left")
 
 
 def _decided(fused: DataFrame, estimates: DataFrame) -> DataFrame:
     held = fused.select(*KEYS, "overall_health_index", "overall_status")
-    return fusion.decision_row(fused).join(held, KEYS).join(_recovered(estimates), KEYS, "left")
+    return fusion.decision_row(fused).join(row_sized(held), KEYS).join(row_sized(_recovered(estimates)), KEYS, "left")
 
 
 def run_decisions(
@@ -180,7 +180,7 @@ def run_decisions(
     table = features.feature_table(qc.select(*KEYS, *CHANNELS))
     if models is None:
         table = cleaning.split_by_fraction(table, settings.train, settings.validation)
-        table = cut(table.join(qc.select(*KEYS, (F.col("qc_flag") != "PASSED").alias("flagged")), KEYS), "features")
+        table = cut(table.join(row_sized(qc.select(*KEYS, (F.col("qc_flag") != "PASSED").alias("flagged"))), KEYS), "features")
         models = fit_on(table, settings)
     else:
         table = cut(table, "features")
@@ -209,7 +209,7 @@ def decide_arrivals(rows: DataFrame, readings: DataFrame, distances: DataFrame,
     qc = rows.select(*QC_COLUMNS, "final", *around)
     fused = cut(fusion.fuse(signals(qc, scored, near, health.station_health(state.channel_health(rows)))), "fused")
     estimates = recovery.neighbor_estimates(_asked(fused), "_flagged", "_wanted")
-    return _decided(fused, estimates).join(fused.select(*KEYS, "final"), KEYS)
+    return _decided(fused, estimates).join(row_sized(fused.select(*KEYS, "final")), KEYS)
 
 
 def log_rows(decisions: DataFrame, created_at) -> DataFrame:

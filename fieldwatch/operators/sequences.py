@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS, SEQUENCE_ERROR_THRESHOLD, SEQUENCE_ROWS
 from fieldwatch.ranks import quantiles
+from fieldwatch.session import row_sized
 from fieldwatch.timeline import Timeline, micros_between
 
 HOUR = 3_600_000_000
@@ -83,4 +84,4 @@ def spread_to_rows(windows: DataFrame, values: list[str], rows: int = SEQUENCE_R
 def map_to_end(df: DataFrame, windows: DataFrame, values: list[str]) -> DataFrame:
     """Values of a window on its last row; null on other rows."""
     keys = ["station_id", "timestamp"]
-    return df.join(windows.select(*keys, *values), keys, "left")
+    return df.join(row_sized(windows.select(*keys, *values)), keys, "left")

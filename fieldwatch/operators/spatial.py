@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldwatch.config import CHANNELS
 from fieldwatch.functions.text import compact_texts, round_even
 from fieldwatch.functions.geo import haversine_km, pressure_at
+from fieldwatch.session import row_sized
 
 TOLERANCE = {"temperature": 6.0, "pressure": 4.0, "humidity": 25.0}
 
@@ -57,7 +58,7 @@ def buddy_join(obs: DataFrame, readings: DataFrame, distances: DataFrame) -> Dat
     default = first.select("station_id", F.struct(*meta).alias("_default"))
     named = distances.select("station_id", F.col("neighbour_id").alias("_nid"), F.struct(*meta).alias("_named"))
     joined = (
-        obs.join(readings.withColumn("_given", F.lit(True)), ["station_id", "timestamp"], "left")
+        obs.join(row_sized(readings.withColumn("_given", F.lit(True))), ["station_id", "timestamp"], "left")
         .join(default, "station_id", "left")
         .join(
             named.withColumnRenamed("station_id", "_sid"),
