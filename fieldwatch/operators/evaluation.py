@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldwatch.config import CHANNELS
+from fieldwatch.session import row_sized
 from fieldwatch.timeline import Timeline
 
 KEYS = ["station_id", "timestamp"]
@@ -28,7 +29,7 @@ def inject_anomalies(df: DataFrame, cases: DataFrame) -> DataFrame:
             F.max("anomaly_type").alias("_type"),
         )
     )
-    out = df.join(per_row, KEYS, "left").withColumns(
+    out = df.join(row_sized(per_row), KEYS, "left").withColumns(
         {c: F.coalesce(f"_v_{c}", c) for c in CHANNELS}
         | {
             "anomaly_type": F.coalesce("_type", F.lit("Normal")),
@@ -66,8 +67,8 @@ def method_comparison(df: DataFrame, methods: dict[str, str], truth: str = "grou
 
 def model_evidence(df: DataFrame, forest_scores: DataFrame, window_errors: DataFrame) -> DataFrame:
     """Rows with the votes' model flags: `if_anomaly`, `sequence_anomaly`; false without a score."""
-    scored = df.join(forest_scores.select(*KEYS, F.col("iforest_flag").alias("_if")), KEYS, "left")
-    scored = scored.join(window_errors.select(*KEYS, F.col("sequence_flag").alias("_seq")), KEYS, "left")
+    scored = df.join(row_sized(forest_scores.select(*KEYS, F.col("iforest_flag").alias("_if"))), KEYS, "left")
+    scored = scored.join(row_sized(window_errors.select(*KEYS, F.col("sequence_flag").alias("_seq"))), KEYS, "left")
     flags = {"if_anomaly": F.coalesce("_if", F.lit(False)), "sequence_anomaly": F.coalesce("_seq", F.lit(False))}
     return scored.withColumns(flags).drop("_if", "_seq")
 
@@ -119,12 +120,12 @@ def fault_cases(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def left_join_evidence(df: DataFrame, evidence: DataFrame) -> DataFrame:
-    return df.join(evidence, KEYS, "left")
+    return df.join(row_sized(evidence), KEYS, "left")
 
 
 def lookup_flags(df: DataFrame, known: DataFrame, defaults: dict) -> DataFrame:
     """Values looked up by station and time, with a default where there is none."""
-    return df.join(known, KEYS, "left").fillna(defaults)
+    return df.join(row_sized(known), KEYS, "left").fillna(defaults)
 
 
 def history_tail(df: DataFrame, rows: int, columns: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from helpers import at, column, ordered, series
 from pyspark.sql import functions as F
 
-from fieldwatch.operators import features, fusion, health, multivariate, qc, sequences
+from fieldwatch.operators import evaluation, features, fusion, health, multivariate, qc, sequences
 from fieldwatch.ranks import quantiles, share_at_most
 
 SIGNALS = """station_id string, timestamp timestamp_ntz, temperature double, pressure double, humidity double,
@@ -174,3 +174,21 @@ def test_quantiles_and_ranks_are_exact(spark):
     ranked = share_at_most(df, "v", df.select("k", F.col("v").alias("r")), "r", "s", ["k"]).collect()
     for r in ranked[:50]:
         assert r.s == pytest.approx((values <= r.v).mean() * 100)
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_series_are_merged_not_collected(spark):
+    """However small rows look when stored, no side of a join of series goes through the driver."""
+    rows = series(spark, [(i, -10.0 + i % 5, 950.0, 50.0) for i in range(40)])
+    checked = qc.quality_control(rows)
+    plans = [_plan(health.station_health(health.parameter_health(checked)))]
+    scores = rows.select("station_id", "timestamp", F.lit(True).alias("iforest_flag"), F.lit(False).alias("sequence_flag"))
+    plans.append(_plan(evaluation.model_evidence(rows, scores, scores)))
+    per_hour = rows.select("station_id", F.col("timestamp").alias("start"), F.col("timestamp").alias("stop"), F.lit("pressure").alias("channel"), F.lit(1.0).alias("value"), F.lit("Spike").alias("anomaly_type"))
+    plans.append(_plan(evaluation.inject_anomalies(rows, per_hour)))
+    for plan in plans:
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
