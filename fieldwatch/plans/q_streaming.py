@@ -1,5 +1,7 @@
 """Queries: streams, run to the end of the given data and compared with the batch rules."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,23 @@ def arriving(df, parts=4):
 
 def in_order(df):
     """As `arriving`, one time window after the other, each station of a window in one file, so
-    that no micro-batch holds an earlier row of a station."""
-    spark = df.sparkSession
-    path = work_path(spark, "arriving")
+    that no micro-batch holds an earlier row of a station.
+
+    A micro-batch takes as many files as divide every window's: the whole window where each
+    core wrote its file, so the number of micro-batches does not grow with the rows.  The
+    rows are stored first, as they are read once for each window.
+    """
+    spark, df = df.sparkSession, cut(df, "in-order")
+    path, parts = work_path(spark, "arriving"), spark.sparkContext.defaultParallelism
     cuts = ("2024-01-09", "2024-01-17", "2024-01-25")
-    stamp, low = F.col("timestamp"), None
-    for i, high in enumerate((*cuts, None)):
+    stamp, low, files = F.col("timestamp"), None, [0]
+    for high in (*cuts, None):
         part = df if low is None else df.where(stamp >= low)
         part = part if high is None else part.where(stamp < high)
-        part.repartition("station_id").write.mode("append").parquet(path)
+        part.repartition(parts, "station_id").write.mode("append").parquet(path)
+        files.append(len(spark.read.schema(df.schema).parquet(path).inputFiles()))
         low = high
-    return jobs.stream_obs(spark, path, df.schema)
+    return jobs.stream_obs(spark, path, df.schema, math.gcd(*[b - a for a, b in zip(files, files[1:])]) or 1)
 
 
 @cat.query(sql(SPARSE, body='SELECT station_id, "timestamp", temperature, pressure, humidity FROM sparse'))

@@ -192,3 +192,20 @@ def test_windows_drop_late_rows_and_segments_wait_for_them(spark):
     got = jobs.run_arrivals(weeks, lambda s: jobs.segments(s, 1.0, late="2 days"), "s")
     rows = [((r.segment_start - START).total_seconds() / 3600, r["rows"]) for r in got.orderBy("segment_start").collect()]
     assert rows == [(0.0, 4), (29.0, 3)]  # hour 4 is too late, hour 29 is not, hour 60 is still open
+
+
+def test_micro_batches_do_not_grow_with_files(spark):
+    """One micro-batch per time window, however many files it came in."""
+    from fieldwatch.plans.q_streaming import in_order
+
+    stamps = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30', interval 1 day)) AS timestamp")
+    rows = spark.range(40).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id")).crossJoin(stamps)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    try:
+        job = in_order(rows).writeStream.foreachBatch(lambda batch, _: seen.append(batch.agg(F.min("timestamp"), F.max("timestamp"), F.count("*")).first()))
+        job.option("checkpointLocation", work_path(spark, "batches")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert [r[2] for r in seen] == [320, 320, 320, 240]
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
