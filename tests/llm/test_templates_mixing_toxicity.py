@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -179,6 +180,35 @@ def test_toxicity_without_usable_labels(spark, corpus):
         assert len(scores) == 1 and max(scores) < 0.5
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """More rows than any bound on a sample: a word that few of many shards hold counts fully."""
+    rows = [(k, f"plain text{k % 50} " + ("vile" if k % 10 == 0 else "kind"), "xx", int(k % 10 == 0)) for k in range(12_000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    known = toxicity.known_labels(labels, "doc_id")
+    counts = toxicity.count_buckets(docs.withColumnRenamed("doc_id", "id").join(known, "id"))
+    assert len(kept) > 8_000 and counts[:, :, -1].sum() == len(kept)
+    assert counts[:, 1, -1].sum() == sum(r[3] for r in kept)
+    words, _ = toxicity.hashed_words(["vile"])
+    assert counts[:, 1, words[0, 0]].sum() == sum(r[3] for r in kept) and counts[:, 0, words[0, 0]].sum() == 0
+    trained = []
+    epoch = toxicity.average_epoch
+
+    def watched(shards, states, number, *rest):
+        if not trained:
+            trained.extend(r.n for r in shards.collect())
+        return epoch(shards, states, number, *rest)
+
+    monkeypatch.setattr(toxicity, "average_epoch", watched)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 2_500)
+    monkeypatch.setattr(toxicity, "EPOCHS", 3)
+    model = toxicity.fit_model(docs, labels)
+    assert sum(trained) == len(kept) and len(trained) > 2
+    wrong = [r.doc_id for r in toxicity.score_documents(docs, model).collect() if (r.score >= 0.5) != (r.doc_id % 10 == 0)]
+    assert not wrong
+
+
 def test_gradients_lower_the_loss():
     rows = pd.DataFrame({"toxic": [1, 0] * 40})
     words = [f"bad tail{k % 7}" if k % 2 == 0 else f"good tail{k % 7}" for k in range(80)]
