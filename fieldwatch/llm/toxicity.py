@@ -87,6 +87,18 @@ def _windows(words: np.ndarray, first: np.ndarray):
     return rows, text
 
 
+def _windows_of_places(text, at, ids):
+    """As `_windows`, from the words in use alone: their text, place and ids, in order."""
+    longest = max(WIDTHS)
+    stride = int(at.max(initial=0)) + 2 * longest
+    places = text * stride + at + longest
+    starts = np.unique(np.concatenate([places - j for j in range(longest)]))
+    near = starts[:, None] + np.arange(longest)
+    found = np.searchsorted(places, near)
+    known = np.append(places, -1)[found] == near
+    return np.where(known[:, :, None], np.concatenate((ids, np.zeros((1, ids.shape[1]), ids.dtype)))[found], 0), starts // stride
+
+
 def _pool(values: np.ndarray, text: np.ndarray, n: int, start: np.ndarray) -> np.ndarray:
     """Maximum of each filter over a text's windows, `start` where it has none."""
     out = np.tile(start, (n, 1))
@@ -97,7 +109,7 @@ def _pool(values: np.ndarray, text: np.ndarray, n: int, start: np.ndarray) -> np
 
 
 def _responses(model: Model, rows: np.ndarray):
-    x = model.embedding[rows].sum(axis=2)
+    x = sum(model.embedding[rows[:, :, k]] for k in range(rows.shape[2]))
     return x, [np.maximum(b + sum(x[:, j] @ a[j] for j in range(len(a))), 0) for a, b in model.filters]
 
 
@@ -211,9 +223,10 @@ def train_epoch(state: State, rows, text, labels, draw, rate: float = RATE, deca
         grads[1] = pooled.T @ error
         grads[-1][0] = error.sum()
         for f, (z, (a, _)) in enumerate(zip(responses, model.filters)):
+            strongest = np.asfortranarray((z == pooled[of, f * FILTERS : (f + 1) * FILTERS]) & (z > 0))
             for k in range(FILTERS):
                 column = f * FILTERS + k
-                hit = np.flatnonzero((z[:, k] == pooled[of, column]) & (z[:, k] > 0))
+                hit = np.flatnonzero(strongest[:, k])
                 if not len(hit):
                     continue
                 docs, best = np.unique(of[hit], return_index=True)
@@ -296,42 +309,38 @@ def count_buckets(rows: DataFrame) -> np.ndarray:
     return total.reshape(2, 2, size + 1)
 
 
-#: A text's words in use for each of the two models: how many words it has, where those in use stand, their buckets.
-_USED = "size int, at_0 binary, ids_0 binary, at_1 binary, ids_1 binary"
+#: A text's words in use for any model: their places and the slots of their buckets.
+_USED = "at binary, slots binary"
 
 
-def used_words(docs: DataFrame, indexes: list[np.ndarray]) -> DataFrame:
-    """The words in use of each text (id, lang, text), see _USED."""
+def used_words(docs: DataFrame, slot: np.ndarray) -> DataFrame:
+    """The words in use of each text (id, lang, text), see _USED; slot: of each bucket, 0 if not in use."""
 
     def used(batches):
         for batch in batches:
             for k in range(0, len(batch), 256):
                 some = batch.iloc[k : k + 256]
                 words, first = hashed_words(some["text"].tolist())
-                out = some.drop(columns="text").assign(size=np.diff(first))
-                for m, index in enumerate(indexes):
-                    ids = index[words].astype(np.int16)
-                    at = np.flatnonzero(ids.any(axis=1))
-                    ends = np.searchsorted(at, first)
-                    out[f"at_{m}"] = [(at[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(ends, ends[1:], first)]
-                    out[f"ids_{m}"] = [ids[at[a:b]].tobytes() for a, b in zip(ends, ends[1:])]
-                yield out
+                ids = slot[words]
+                at = np.flatnonzero(ids.any(axis=1))
+                ends, ids = np.searchsorted(at, first), ids[at]
+                places = [(at[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(ends, ends[1:], first)]
+                yield some.drop(columns="text").assign(at=places, slots=[ids[a:b].tobytes() for a, b in zip(ends, ends[1:])])
 
     return docs.mapInPandas(used, f"id long, lang string, {_USED}")
 
 
-_SHARD = "shard long, n long, toxic binary, part binary, lang array<string>, size binary, places_0 binary, at_0 binary, ids_0 binary, places_1 binary, at_1 binary, ids_1 binary"
+_SHARD = "shard long, n long, toxic binary, part binary, lang array<string>, places binary, at binary, slots binary"
 
 
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
     """The rows of a shard, by id, as one row of arrays."""
-    pdf = pdf.sort_values(["id", "size", "ids_0", "ids_1", "lang"], ignore_index=True)
+    pdf = pdf.sort_values(["id", "at", "slots", "toxic", "lang"], ignore_index=True)
     row = {"shard": pdf["shard"].iloc[0], "n": len(pdf), "lang": pdf["lang"].fillna("").tolist()}
-    for c in ("toxic", "part", "size"):
+    for c in ("toxic", "part"):
         row[c] = pdf[c].to_numpy(np.int64).tobytes()
-    for m in (0, 1):
-        row[f"places_{m}"] = pdf[f"at_{m}"].map(len).to_numpy(np.int64).tobytes()
-        row |= {f"{k}_{m}": b"".join(pdf[f"{k}_{m}"]) for k in ("at", "ids")}
+    row["places"] = (pdf["at"].map(len).to_numpy(np.int64) // 4).tobytes()
+    row |= {k: b"".join(pdf[k]) for k in ("at", "slots")}
     return pd.DataFrame([row])[[f.split()[0] for f in _SHARD.split(", ")]]
 
 
@@ -343,21 +352,15 @@ def shard_rows(rows: DataFrame, n: int) -> DataFrame:
     return cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_packed, _SHARD), "toxicity-shards")
 
 
-def _unpacked(row, m: int, chosen: np.ndarray):
-    """Windows, their text and labels of the chosen rows of a shard for model m."""
-    toxic, size = np.frombuffer(row.toxic, np.int64), np.frombuffer(row.size, np.int64)
-    places = np.frombuffer(getattr(row, f"places_{m}"), np.int64) // 4
-    at, ids = np.frombuffer(getattr(row, f"at_{m}"), np.int32), np.frombuffer(getattr(row, f"ids_{m}"), np.int16).reshape(-1, 1 + len(STEMS))
-    begin, first = np.concatenate(([0], np.cumsum(places))), np.concatenate(([0], np.cumsum(size[chosen])))
-    found = [_windows(np.zeros((0, 1 + len(STEMS)), np.int32), np.zeros(1, np.int64))]
-    for a, b in _portions(first):
-        words = np.zeros((first[b] - first[a], 1 + len(STEMS)), np.int32)
-        for d in range(a, b):
-            own = slice(begin[chosen[d]], begin[chosen[d] + 1])
-            words[first[d] - first[a] + at[own]] = ids[own]
-        windows, text = _windows(words, first[a : b + 1] - first[a])
-        found.append((windows, text + a))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), toxic[chosen]
+def _unpacked(row, index: np.ndarray, chosen: np.ndarray):
+    """Windows, their text and labels of the chosen rows of a shard; index: the model's number of each slot."""
+    toxic, places = np.frombuffer(row.toxic, np.int64), np.frombuffer(row.places, np.int64)
+    at, slots = np.frombuffer(row.at, np.int32), np.frombuffer(row.slots, np.int16).reshape(-1, 1 + len(STEMS))
+    number = np.full(len(toxic), -1)
+    number[chosen] = np.arange(len(chosen))
+    owner, ids = np.repeat(number, places), index[slots]
+    kept = (owner >= 0) & ids.any(axis=1)
+    return *_windows_of_places(owner[kept], at[kept], ids[kept]), toxic[chosen]
 
 
 def _chosen(row, m: int) -> np.ndarray:
@@ -373,7 +376,7 @@ def _sums(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model": [pdf["model"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "rows": [pdf["rows"].sum()], "step": [pdf["step"].max()], "state": [total.tobytes()]})
 
 
-def average_epoch(shards: DataFrame, states: dict[int, State], epoch: int, seed: int = SEED) -> dict[int, State]:
+def average_epoch(shards: DataFrame, states: dict[int, State], epoch: int, indexes: list[np.ndarray], seed: int = SEED) -> dict[int, State]:
     """The states after every shard trained one epoch from the given ones: averages, weighted by rows.
 
     Groups of shards are added first; the driver gets one state a group, of a size that the
@@ -385,7 +388,7 @@ def average_epoch(shards: DataFrame, states: dict[int, State], epoch: int, seed:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 for m, state in states.items():
-                    windows, text, toxic = _unpacked(row, m, _chosen(row, m))
+                    windows, text, toxic = _unpacked(row, indexes[m], _chosen(row, m))
                     if not len(toxic):
                         continue
                     own = state.filled(state.flat(), state.step)
@@ -403,14 +406,14 @@ def average_epoch(shards: DataFrame, states: dict[int, State], epoch: int, seed:
     return out
 
 
-def calibrate(shards: DataFrame, trial: Model) -> tuple[float, dict]:
+def calibrate(shards: DataFrame, trial: Model, index: np.ndarray) -> tuple[float, dict]:
     """The common cut and, less it, those of languages with enough toxic rows, from all rows of part 0."""
 
     def run(batches):
         for batch in batches:
             for row in batch.itertuples(index=False):
                 held = np.flatnonzero(np.frombuffer(row.part, np.int64) == 0)
-                windows, text, toxic = _unpacked(row, 0, held)
+                windows, text, toxic = _unpacked(row, index, held)
                 value = logits(trial, windows, text, len(held))
                 lang = np.asarray(row.lang, dtype=object)[held]
                 yield pd.DataFrame({"lang": lang, "value": np.rint(value * CUT_STEPS).astype(np.int64), "toxic": toxic})
@@ -444,12 +447,16 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if not everything[:, size].all():
         return begun[1]
     cutting = held[1, size] >= 3 and others[:, size].all()
-    shards = shard_rows(_labelled(used_words(rows, [m.index for m in begun]), known), int(everything[:, size].sum()))
+    used = np.flatnonzero(begun[0].index | begun[1].index)
+    slot = np.zeros(size, np.int16)
+    slot[used] = np.arange(1, len(used) + 1)
+    indexes = [np.concatenate(([0], m.index[used])).astype(np.int32) for m in begun]
+    shards = shard_rows(_labelled(used_words(rows, slot), known), int(everything[:, size].sum()))
     states = {m: State.of(begun[m]) for m in ((0, 1) if cutting else (1,))}
     for epoch in range(EPOCHS):
-        states = average_epoch(shards, states, epoch)
+        states = average_epoch(shards, states, epoch, indexes)
     model = states[1].model(begun[1].index)
-    common, own = calibrate(shards, states[0].model(begun[0].index)) if cutting else (0.0, {})
+    common, own = calibrate(shards, states[0].model(begun[0].index), indexes[0]) if cutting else (0.0, {})
     model.bias -= common
     model.thresholds = {k: float(1 / (1 + np.exp(-v))) for k, v in own.items()}
     return model

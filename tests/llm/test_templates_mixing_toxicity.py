@@ -209,6 +209,19 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert not wrong
 
 
+def test_windows_from_places_equal_those_of_all_words():
+    draw = np.random.default_rng(4)
+    sizes = [0, 1, 2, 3, 9, 0, 40, 1]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    words = np.where(draw.random((first[-1], 3)) < 0.15, draw.integers(1, 9, (first[-1], 3)), 0).astype(np.int32)
+    words[first[3]] = words[first[7]] = 5
+    place = np.flatnonzero(words.any(axis=1))
+    text = np.repeat(np.arange(len(sizes)), sizes)[place]
+    want, got = toxicity._windows(words, first), toxicity._windows_of_places(text, place - first[text], words[place])
+    assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+    assert toxicity._windows_of_places(text[:0], place[:0], words[:0])[0].shape == (0, 3, 3)
+
+
 def test_gradients_lower_the_loss():
     rows = pd.DataFrame({"toxic": [1, 0] * 40})
     words = [f"bad tail{k % 7}" if k % 2 == 0 else f"good tail{k % 7}" for k in range(80)]
