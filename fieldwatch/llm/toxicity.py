@@ -24,6 +24,8 @@ STEMS = (6, 7)
 SHARD_ROWS = 8_192
 HASH_BITS, EMBEDDING, WIDTHS, FILTERS, MOST_BUCKETS, LEAST_EVIDENCE = 18, 8, (1, 2, 3), 8, 2048, 2.0
 EPOCHS, RATE, DECAY, SEED = 12, 0.01, 1e-4, 5
+#: Parts of a task's counts of buckets, each added up by itself.
+COUNT_SLICES = 256
 #: Steps of a logit that calibration tells apart.
 CUT_STEPS = 1_000
 #: Positive rows of a language from which on its own threshold replaces the common one.
@@ -299,13 +301,16 @@ def count_buckets(rows: DataFrame) -> np.ndarray:
                     total[own, 1, :size] += hit
                     total[own, 0, size] += (toxic[which] == 0).sum()
                     total[own, 1, size] += (toxic[which] == 1).sum()
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": at, "n": total.ravel()[at]})
+        if total.any():
+            parts = np.array_split(total.ravel(), COUNT_SLICES)
+            yield pd.DataFrame({"slice": np.arange(len(parts)), "n": [p.tobytes() for p in parts]})
 
-    found = rows.select("text", "toxic", "part").mapInPandas(counted, "at long, n long")
-    sums = found.groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2^20 + 4 rows
-    total = np.zeros(4 * (size + 1), np.int64)
-    total[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    def added(pdf):
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in pdf["n"]).tobytes()]})
+
+    found = rows.select("text", "toxic", "part").mapInPandas(counted, "slice int, n binary")
+    sums = found.groupBy("slice").applyInPandas(added, "slice int, n binary").toArrow().to_pandas().sort_values("slice")
+    total = np.frombuffer(b"".join(sums["n"]), np.int64) if len(sums) else np.zeros(4 * (size + 1), np.int64)
     return total.reshape(2, 2, size + 1)
 
 
