@@ -7,6 +7,7 @@ parameters, and the parameters (weighted by rows) are averaged.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,9 +15,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldwatch.llm import arrays
-from fieldwatch.session import cut, row_sized
+from fieldwatch.llm.common import likely_in, stored
+from fieldwatch.session import row_sized
 
 #: Bytes of the word beginnings that have buckets of their own.
 STEMS = (6, 7)
@@ -94,31 +97,69 @@ def _windows_of_places(text, at, ids):
     longest = max(WIDTHS)
     stride = int(at.max(initial=0)) + 2 * longest
     places = text * stride + at + longest
-    starts = np.unique(np.concatenate([places - j for j in range(longest)]))
-    near = starts[:, None] + np.arange(longest)
-    found = np.searchsorted(places, near)
-    known = np.append(places, -1)[found] == near
-    return np.where(known[:, :, None], np.concatenate((ids, np.zeros((1, ids.shape[1]), ids.dtype)))[found], 0), starts // stride
-
-
-def _pool(values: np.ndarray, text: np.ndarray, n: int, start: np.ndarray) -> np.ndarray:
-    """Maximum of each filter over a text's windows, `start` where it has none."""
-    out = np.tile(start, (n, 1))
-    if len(text):
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(text) > 0)))
-        out[text[cut]] = np.maximum(out[text[cut]], np.maximum.reduceat(values, cut, axis=0))
-    return out
+    around = np.zeros((len(places), 2 * longest - 1, ids.shape[1]), ids.dtype)
+    around[:, longest - 1] = ids
+    for k in range(1, longest):
+        for j in range(1, k + 1):
+            follows = np.flatnonzero(places[j:] == places[: len(places) - j] + k)
+            around[follows, longest - 1 + k] = ids[follows + j]
+    new = np.minimum(np.diff(places, prepend=-longest), longest)
+    word = np.repeat(np.arange(len(places)), new)
+    before = np.repeat(np.cumsum(new), new) - 1 - np.arange(len(word))
+    return around[word[:, None], longest - 1 - before[:, None] + np.arange(longest)], text[word]
+
+
+def _numbered(ids: np.ndarray):
+    """The distinct words in use, a row of ids each after one of zeros, and the number of each word's row there."""
+    base = np.int64(1 << 20)
+    keys = (ids[:, 0].astype(np.int64) * base + ids[:, 1]) * base + ids[:, 2]
+    used = np.flatnonzero(keys)
+    found, at = np.unique(keys[used], return_inverse=True)
+    kinds = np.zeros((len(found) + 1, 3), np.int32)
+    kinds[1:] = np.stack([found // base // base, found // base % base, found % base], axis=1)
+    numbers = np.zeros(len(ids), np.int32)
+    numbers[used] = at + 1
+    return kinds, numbers
+
+
+def _kernel(filters) -> list[np.ndarray]:
+    """By place in a window, the weights of all filters that reach it, side by side; wider filters are last."""
+    return [np.concatenate([a[j] for a, _ in filters if len(a) > j], axis=1) for j in range(len(filters[-1][0]))]
+
+
+def _strongest(filters, x: np.ndarray, rows: np.ndarray, text: np.ndarray, n: int):
+    """Of each text and filter the largest response, not below that of no words, and the window that gives it (-1: none).
+
+    x: embeddings of the distinct words; rows: their numbers by window, windows in order of their text.
+    """
+    bias = np.concatenate([b for _, b in filters])
+    best, at = np.tile(np.maximum(bias, 0), (n, 1)), np.full((n, len(bias)), -1)
+    if not len(text):
+        return best, at
+    parts = [x @ a for a in _kernel(filters)]
+    z = (parts[0] + bias).take(rows[:, 0].astype(np.intp), axis=0)
+    for j in range(1, len(parts)):
+        z[:, -parts[j].shape[1] :] += parts[j].take(rows[:, j].astype(np.intp), axis=0)
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(text)) + 1, [len(text)]))
+    own = text[edges[:-1]]
+    first = np.array([a + z[a:b].argmax(axis=0) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())])
+    value = z[first, np.arange(len(bias))]
+    up = (value >= best[own]) & (value > 0)
+    best[own], at[own] = np.where(up, value, best[own]), np.where(up, first, -1)
+    return best, at
+
+
+def _embedded(embedding: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return sum(embedding[kinds[:, k]] for k in range(kinds.shape[1]))
 
 
-def _responses(model: Model, rows: np.ndarray):
-    x = sum(model.embedding[rows[:, :, k]] for k in range(rows.shape[2]))
-    return x, [np.maximum(b + sum(x[:, j] @ a[j] for j in range(len(a))), 0) for a, b in model.filters]
+def _logits(model: Model, kinds, rows, text, n) -> np.ndarray:
+    return _strongest(model.filters, _embedded(model.embedding, kinds), rows, text, n)[0] @ model.weights + model.bias
 
 
 def logits(model: Model, rows, text, n) -> np.ndarray:
-    _, responses = _responses(model, rows)
-    pooled = [_pool(z, text, n, np.maximum(b, 0)) for z, (_, b) in zip(responses, model.filters)]
-    return np.concatenate(pooled, axis=1) @ model.weights + model.bias
+    kinds, numbers = _numbered(rows.reshape(-1, rows.shape[2]))
+    return _logits(model, kinds, numbers.reshape(rows.shape[:2]), text, n)
 
 
 def _portions(first, most_words: int = 200_000):
@@ -138,16 +179,20 @@ def _all_windows(index, words, first):
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _seen(words, first) -> list[np.ndarray]:
+    """The distinct buckets of each text, ascending."""
+    return [np.unique(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def _times(seen: list[np.ndarray]) -> np.ndarray:
+    """In how many texts each bucket occurs."""
+    return np.bincount(np.concatenate([np.zeros(0, np.int32), *seen]), minlength=1 << HASH_BITS)
+
+
 def _bucket_counts(words, first, labels):
     """In how many toxic and how many other texts each bucket occurs."""
-    hit, miss = np.zeros(1 << HASH_BITS, np.int64), np.zeros(1 << HASH_BITS, np.int64)
-    for a, b in _portions(first):
-        text = np.repeat(np.arange(a, b), np.diff(first[a : b + 1]))
-        seen = np.unique(text[:, None] * (1 << HASH_BITS) + words[first[a] : first[b]])
-        bucket, toxic = seen % (1 << HASH_BITS), labels[seen // (1 << HASH_BITS)]
-        hit += np.bincount(bucket[toxic == 1], minlength=1 << HASH_BITS)
-        miss += np.bincount(bucket[toxic == 0], minlength=1 << HASH_BITS)
-    return hit, miss
+    seen = _seen(words, first)
+    return _times([x for x, y in zip(seen, labels) if y == 1]), _times([x for x, y in zip(seen, labels) if y == 0])
 
 
 def start(hit, miss, positive: int, negative: int, seed: int = SEED) -> Model:
@@ -210,33 +255,37 @@ class State:
         return State(parts[:n], parts[n : 2 * n], parts[2 * n :], step)
 
 
-def train_epoch(state: State, rows, text, labels, draw, rate: float = RATE, decay: float = DECAY) -> None:
-    """One pass over the texts' windows by Adam on the logistic loss; changes `state`."""
+def train_epoch(state: State, kinds, rows, text, labels, draw, rate: float = RATE, decay: float = DECAY) -> None:
+    """One pass over the texts' windows by Adam on the logistic loss; changes `state`.
+
+    kinds: the distinct words, by the ids of their buckets; rows: their numbers by window.
+    """
     cuts, batch = np.searchsorted(text, np.arange(len(labels) + 1)), max(16, min(256, len(labels) // 16))
     for some in np.array_split(draw.permutation(len(labels)), max(1, len(labels) // batch)):
         some = np.sort(some)
         take = np.concatenate([np.arange(cuts[d], cuts[d + 1]) for d in some])
         own, of = rows[take], np.repeat(np.arange(len(some)), cuts[some + 1] - cuts[some])
         model = state.model(None)
-        x, responses = _responses(model, own)
-        pooled = np.concatenate([_pool(z, of, len(some), np.maximum(b, 0)) for z, (_, b) in zip(responses, model.filters)], axis=1)
+        x = _embedded(model.embedding, kinds)
+        pooled, best = _strongest(model.filters, x, own, of, len(some))
         error = (1 / (1 + np.exp(-np.clip(pooled @ model.weights + model.bias, -30, 30))) - labels[some]) / len(some)
         grads = [np.zeros_like(p) for p in state.params]
         grads[1] = pooled.T @ error
         grads[-1][0] = error.sum()
-        for f, (z, (a, _)) in enumerate(zip(responses, model.filters)):
-            strongest = np.asfortranarray((z == pooled[of, f * FILTERS : (f + 1) * FILTERS]) & (z > 0))
-            for k in range(FILTERS):
-                column = f * FILTERS + k
-                hit = np.flatnonzero(strongest[:, k])
-                if not len(hit):
-                    continue
-                docs, best = np.unique(of[hit], return_index=True)
-                best, push = hit[best], error[docs] * model.weights[column]
-                grads[3 + 2 * f][k] += push.sum()
-                for j in range(len(a)):
-                    grads[2 + 2 * f][j, :, k] += push @ x[best, j]
-                    np.add.at(grads[0], own[best, j], (push[:, None] * a[j, :, k])[:, None, :])
+        texts, columns = np.nonzero(best >= 0)
+        push, window = error[texts] * model.weights[columns], own[best[texts, columns]]
+        biases = np.bincount(columns, push, pooled.shape[1])
+        for f in range(len(WIDTHS)):
+            grads[3 + 2 * f] += biases[f * FILTERS : (f + 1) * FILTERS]
+        for j, a in enumerate(_kernel(model.filters)):
+            lead = pooled.shape[1] - a.shape[1]
+            reach = columns >= lead
+            words, at = np.unique(window[reach, j], return_inverse=True)
+            pushed = np.bincount(at * a.shape[1] + columns[reach] - lead, push[reach], len(words) * a.shape[1]).reshape(-1, a.shape[1])
+            np.add.at(grads[0], kinds[words], (pushed @ a.T)[:, None, :])
+            slope = x[words].T @ pushed
+            for k, f in enumerate(range(lead // FILTERS, len(WIDTHS))):
+                grads[2 + 2 * f][j] += slope[:, k * FILTERS : (k + 1) * FILTERS]
         grads[0][0] = 0
         state.step += 1
         for k, (p, g, m, v) in enumerate(zip(state.params, grads, state.first, state.second)):
@@ -256,9 +305,10 @@ def train(words, first, labels, epochs: int = EPOCHS, seed: int = SEED) -> Model
     if not (positive and negative):
         return model
     rows, text = _all_windows(model.index, words, first)
+    kinds, numbers = _numbered(rows.reshape(-1, rows.shape[2]))
     state = State.of(model)
     for epoch in range(epochs):
-        train_epoch(state, rows, text, labels, np.random.default_rng([seed, epoch, 0]))
+        train_epoch(state, kinds, numbers.reshape(rows.shape[:2]), text, labels, np.random.default_rng([seed, epoch, 0]))
     return state.model(model.index)
 
 
@@ -284,23 +334,59 @@ def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(row_sized(known), "id")
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Integers of one width as compressed bytes, all first bytes, then all second ones."""
+    return zlib.compress(values.reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def _spread(data: bytes, kind) -> np.ndarray:
+    """The integers of `_squeezed`, of the given type."""
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending integers by what each adds to the one before."""
+    return _squeezed(np.diff(values, prepend=0).astype(np.int32))
+
+
+def _sum_up(data: bytes) -> np.ndarray:
+    return np.cumsum(_spread(data, np.int32), dtype=np.int32)
+
+
+def seen_buckets(docs: DataFrame) -> DataFrame:
+    """The rows with the distinct buckets of their text (`seen`) in place of it."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                some = batch.iloc[k : k + 256]
+                yield some.drop(columns="text").assign(seen=[_steps(x) for x in _seen(*hashed_words(some["text"].tolist()))])
+
+    return docs.mapInPandas(run, T.StructType([f for f in docs.schema if f.name != "text"]).add("seen", "binary"))
+
+
 def count_buckets(rows: DataFrame) -> np.ndarray:
     """Counts over all rows (text, toxic, part): [calibrating or not, toxic or not, bucket]; the last bucket counts rows."""
+    return count_seen(seen_buckets(rows.select("text", "toxic", "part")))
+
+
+def count_seen(rows: DataFrame) -> np.ndarray:
+    """As `count_buckets`, of rows (seen, toxic, part)."""
     size = 1 << HASH_BITS
 
     def counted(batches):
         total = np.zeros((2, 2, size + 1), np.int64)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.iloc[k : k + 256]
+            for k in range(0, len(batch), 1024):
+                some = batch.iloc[k : k + 1024]
                 toxic, held = some["toxic"].to_numpy(np.int64), some["part"].to_numpy() == 0
                 for own, which in enumerate((held, ~held)):
-                    flat, first = hashed_words(some["text"][which].tolist())
-                    hit, miss = _bucket_counts(flat, first, toxic[which])
-                    total[own, 0, :size] += miss
-                    total[own, 1, :size] += hit
-                    total[own, 0, size] += (toxic[which] == 0).sum()
-                    total[own, 1, size] += (toxic[which] == 1).sum()
+                    for label in (0, 1):
+                        mine = some["seen"][which & (toxic == label)]
+                        if len(mine):
+                            total[own, label, :size] += _times([_sum_up(x) for x in mine])
+                            total[own, label, size] += len(mine)
         if total.any():
             parts = np.array_split(total.ravel(), COUNT_SLICES)
             yield pd.DataFrame({"slice": np.arange(len(parts)), "n": [p.tobytes() for p in parts]})
@@ -308,13 +394,13 @@ def count_buckets(rows: DataFrame) -> np.ndarray:
     def added(pdf):
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "n": [sum(np.frombuffer(x, np.int64) for x in pdf["n"]).tobytes()]})
 
-    found = rows.select("text", "toxic", "part").mapInPandas(counted, "slice int, n binary")
+    found = rows.select("seen", "toxic", "part").mapInPandas(counted, "slice int, n binary")
     sums = found.groupBy("slice").applyInPandas(added, "slice int, n binary").toArrow().to_pandas().sort_values("slice")
     total = np.frombuffer(b"".join(sums["n"]), np.int64) if len(sums) else np.zeros(4 * (size + 1), np.int64)
     return total.reshape(2, 2, size + 1)
 
 
-#: A text's words in use for any model: their places and the slots of their buckets.
+#: A text's words in use for any model: their places and the slots of their buckets, compressed.
 _USED = "at binary, slots binary"
 
 
@@ -329,43 +415,52 @@ def used_words(docs: DataFrame, slot: np.ndarray) -> DataFrame:
                 ids = slot[words]
                 at = np.flatnonzero(ids.any(axis=1))
                 ends, ids = np.searchsorted(at, first), ids[at]
-                places = [(at[a:b] - f).astype(np.int32).tobytes() for a, b, f in zip(ends, ends[1:], first)]
-                yield some.drop(columns="text").assign(at=places, slots=[ids[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+                places = [_steps(at[a:b] - f) for a, b, f in zip(ends, ends[1:], first)]
+                yield some.drop(columns="text").assign(at=places, slots=[_squeezed(ids[a:b]) for a, b in zip(ends, ends[1:])])
 
     return docs.mapInPandas(used, f"id long, lang string, {_USED}")
 
 
-_SHARD = "shard long, n long, toxic binary, part binary, lang array<string>, places binary, at binary, slots binary"
+_SHARD = "shard long, n long, toxic binary, part binary, lang array<string>, places binary, at binary, words binary, kinds binary"
 
 
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a shard, by id, as one row of arrays."""
+def _packed(used: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The labelled rows of a shard, by id, as one row of arrays: words by the number of their kind, kinds by slots."""
+    fields = [f.split()[0] for f in _SHARD.split(", ")]
+    pdf = used.drop(columns="shard").merge(known, on="id")
+    if not len(pdf):
+        return pd.DataFrame(columns=fields)
+    pdf["at"] = [_sum_up(x).tobytes() for x in pdf["at"]]
+    pdf["slots"] = [_spread(x, np.int16).tobytes() for x in pdf["slots"]]
     pdf = pdf.sort_values(["id", "at", "slots", "toxic", "lang"], ignore_index=True)
     row = {"shard": pdf["shard"].iloc[0], "n": len(pdf), "lang": pdf["lang"].fillna("").tolist()}
     for c in ("toxic", "part"):
         row[c] = pdf[c].to_numpy(np.int64).tobytes()
     row["places"] = (pdf["at"].map(len).to_numpy(np.int64) // 4).tobytes()
-    row |= {k: b"".join(pdf[k]) for k in ("at", "slots")}
-    return pd.DataFrame([row])[[f.split()[0] for f in _SHARD.split(", ")]]
+    kinds, words = _numbered(np.frombuffer(b"".join(pdf["slots"]), np.int16).reshape(-1, 1 + len(STEMS)))
+    row |= {"at": b"".join(pdf["at"]), "words": words.tobytes(), "kinds": kinds.tobytes()}
+    return pd.DataFrame([row])[fields]
 
 
-def shard_rows(rows: DataFrame, n: int) -> DataFrame:
-    """All of n rows (id, toxic, part, lang, used words) as stored shards, a row each.  Which rows
-    meet in a shard, and their order, follow from their ids."""
+def shard_rows(used: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """All n labelled rows (id, lang and used words; id, toxic, part) as stored shards, a row each.
+    Which rows meet in a shard, and their order, follow from their ids."""
     shards = max(1, round(n / SHARD_ROWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return cut(dealt.repartition(shards, "shard").groupBy("shard").applyInPandas(_packed, _SHARD), "toxicity-shards")
+    used, known = (x.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(shards, "shard").groupBy("shard") for x in (used, known))
+    return stored(used.cogroup(known).applyInPandas(_packed, _SHARD), "toxicity-shards", maxRecordsPerFile=1, compression="zstd")
 
 
 def _unpacked(row, index: np.ndarray, chosen: np.ndarray):
-    """Windows, their text and labels of the chosen rows of a shard; index: the model's number of each slot."""
+    """Kinds of words, windows of them, their text and labels of the chosen rows of a shard; index: the model's number of each slot."""
     toxic, places = np.frombuffer(row.toxic, np.int64), np.frombuffer(row.places, np.int64)
-    at, slots = np.frombuffer(row.at, np.int32), np.frombuffer(row.slots, np.int16).reshape(-1, 1 + len(STEMS))
+    at, words = np.frombuffer(row.at, np.int32), np.frombuffer(row.words, np.int32)
+    kinds = index[np.frombuffer(row.kinds, np.int32).reshape(-1, 1 + len(STEMS))]
     number = np.full(len(toxic), -1)
     number[chosen] = np.arange(len(chosen))
-    owner, ids = np.repeat(number, places), index[slots]
-    kept = (owner >= 0) & ids.any(axis=1)
-    return *_windows_of_places(owner[kept], at[kept], ids[kept]), toxic[chosen]
+    owner = np.repeat(number, places)
+    kept = (owner >= 0) & kinds.any(axis=1)[words]
+    windows, text = _windows_of_places(owner[kept], at[kept], words[kept, None])
+    return kinds, windows[:, :, 0], text, toxic[chosen]
 
 
 def _chosen(row, m: int) -> np.ndarray:
@@ -393,11 +488,11 @@ def average_epoch(shards: DataFrame, states: dict[int, State], epoch: int, index
         for batch in batches:
             for row in batch.itertuples(index=False):
                 for m, state in states.items():
-                    windows, text, toxic = _unpacked(row, indexes[m], _chosen(row, m))
+                    kinds, windows, text, toxic = _unpacked(row, indexes[m], _chosen(row, m))
                     if not len(toxic):
                         continue
                     own = state.filled(state.flat(), state.step)
-                    train_epoch(own, windows, text, toxic, np.random.default_rng([seed, epoch, row.shard]))
+                    train_epoch(own, kinds, windows, text, toxic, np.random.default_rng([seed, epoch, row.shard]))
                     yield pd.DataFrame({"model": [m], "shard": [row.shard], "rows": [len(toxic)], "step": [own.step], "state": [(own.flat() * len(toxic)).tobytes()]})
 
     n = shards.count()
@@ -418,8 +513,8 @@ def calibrate(shards: DataFrame, trial: Model, index: np.ndarray) -> tuple[float
         for batch in batches:
             for row in batch.itertuples(index=False):
                 held = np.flatnonzero(np.frombuffer(row.part, np.int64) == 0)
-                windows, text, toxic = _unpacked(row, index, held)
-                value = logits(trial, windows, text, len(held))
+                kinds, windows, text, toxic = _unpacked(row, index, held)
+                value = _logits(trial, kinds, windows, text, len(held))
                 lang = np.asarray(row.lang, dtype=object)[held]
                 yield pd.DataFrame({"lang": lang, "value": np.rint(value * CUT_STEPS).astype(np.int64), "toxic": toxic})
 
@@ -446,7 +541,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     rows = docs.where(_fold(id_col) != 0).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known, size = known_labels(labels, id_col), 1 << HASH_BITS
-    held, others = count_buckets(_labelled(rows.drop("lang"), known))
+    rows = likely_in(rows, F.col("id"), known, F.col("id"))
+    held, others = count_seen(_labelled(seen_buckets(rows.drop("lang")), known))
     everything = held + others
     begun = [start(c[1, :size], c[0, :size], int(c[1, size]), int(c[0, size])) for c in (others, everything)]
     if not everything[:, size].all():
@@ -456,7 +552,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     slot = np.zeros(size, np.int16)
     slot[used] = np.arange(1, len(used) + 1)
     indexes = [np.concatenate(([0], m.index[used])).astype(np.int32) for m in begun]
-    shards = shard_rows(_labelled(used_words(rows, slot), known), int(everything[:, size].sum()))
+    shards = shard_rows(used_words(rows, slot), known, int(everything[:, size].sum()))
     states = {m: State.of(begun[m]) for m in ((0, 1) if cutting else (1,))}
     for epoch in range(EPOCHS):
         states = average_epoch(shards, states, epoch, indexes)
@@ -477,7 +573,9 @@ def scores_of(model: Model, texts: list) -> np.ndarray:
     out = [np.zeros(0)]
     for k in range(0, len(texts), 256):
         words, first = hashed_words(texts[k : k + 256])
-        value = logits(model, *_windows(model.index[words], first), len(first) - 1)
+        kinds, numbers = _numbered(model.index[words])
+        windows, text = _windows(numbers[:, None], first)
+        value = _logits(model, kinds, windows[:, :, 0], text, len(first) - 1)
         out.append(1 / (1 + np.exp(-np.clip(value.astype(float), -30, 30))))
     return np.concatenate(out)
 

@@ -252,3 +252,51 @@ def test_scores_equal_a_plain_loop():
                 best = np.maximum(best, sum(x @ w for x, w in zip(window, a)) + b)
             pooled.append(best)
         assert got[k] == pytest.approx(np.concatenate(pooled) @ model.weights + model.bias)
+
+
+def test_training_goes_by_distinct_words_and_keeps_its_gradients():
+    """An epoch over numbered words against the gradient of the loss by differences; texts without any word in use."""
+    draw = np.random.default_rng(7)
+    ids = np.concatenate(([[0, 0, 0]], draw.integers(0, 5, (9, 3)))).astype(np.int32)
+    rows, text = draw.integers(0, 10, (60, 3)).astype(np.int32), np.sort(draw.integers(0, 14, 60))
+    labels = draw.integers(0, 2, 16)
+    filters = [(draw.normal(0, 0.5, (w, toxicity.EMBEDDING, toxicity.FILTERS)), -draw.random(toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    embedding = draw.normal(0, 0.5, (5, toxicity.EMBEDDING))
+    embedding[0] = 0
+    state = toxicity.State.of(toxicity.Model(None, embedding, filters, draw.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1))
+
+    def loss(params):
+        value = toxicity._logits(state.filled(np.concatenate([p.ravel() for p in params] * 3), 0).model(None), ids, rows, text, len(labels))
+        return np.mean(np.log1p(np.exp(value)) - labels * value)
+
+    before = [p.copy() for p in state.params]
+    toxicity.train_epoch(state, ids, rows, text, labels, draw, rate=0.0, decay=0.0)
+    for k, (p, m) in enumerate(zip(before, state.first)):
+        for at in list(np.ndindex(p.shape))[toxicity.EMBEDDING if k == 0 else 0 :: 7]:
+            slope = []
+            for step in (1e-6, -1e-6):
+                moved = [q.copy() for q in before]
+                moved[k][at] += step
+                slope.append(loss(moved))
+            assert m[at] == pytest.approx(0.1 * (slope[0] - slope[1]) / 2e-6, abs=1e-7)
+    toxicity.train_epoch(state, ids, rows[:0], text[:0], labels, draw)
+    assert all(np.isfinite(p).all() for p in state.params)
+
+
+def test_what_toxicity_shuffles_is_smaller_than_the_text(spark, monkeypatch):
+    """No shuffle of whole texts: buckets and words in use come back as they were, and only likely labelled rows pass."""
+    draw = np.random.default_rng(9)
+    text = " ".join(f"w{k}" for k in draw.zipf(1.3, 4000) % 5000)
+    words, first = toxicity.hashed_words([text, None, "one two"])
+    for seen, (a, b) in zip(toxicity._seen(words, first), zip(first, first[1:])):
+        assert np.array_equal(toxicity._sum_up(toxicity._steps(seen)), np.unique(words[a:b]))
+        assert len(toxicity._steps(seen)) < max(30, len(text) // 2)
+    slots = draw.integers(-5, 3000, (50, 3)).astype(np.int16)
+    assert np.array_equal(toxicity._spread(toxicity._squeezed(slots), np.int16).reshape(-1, 3), slots)
+    passed = []
+    used = toxicity.used_words
+    monkeypatch.setattr(toxicity, "used_words", lambda docs, slot: (passed.append((docs.count(), docs.columns)), used(docs, slot))[1])
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    docs = spark.createDataFrame([(k, "vile" if k % 3 else "kind", "xx") for k in range(600)], "doc_id long, text string, lang string")
+    toxicity.fit_model(docs, spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(60)], "doc_id long, toxic int"))
+    assert passed[0][0] < 60
