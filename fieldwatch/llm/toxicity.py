@@ -137,13 +137,13 @@ def _strongest(filters, x: np.ndarray, rows: np.ndarray, text: np.ndarray, n: in
     if not len(text):
         return best, at
     parts = [x @ a for a in _kernel(filters)]
-    z = (parts[0] + bias).take(rows[:, 0].astype(np.intp), axis=0)
+    z = parts[0].take(rows[:, 0].astype(np.intp), axis=0)
     for j in range(1, len(parts)):
         z[:, -parts[j].shape[1] :] += parts[j].take(rows[:, j].astype(np.intp), axis=0)
     edges = np.concatenate(([0], np.flatnonzero(np.diff(text)) + 1, [len(text)]))
     own = text[edges[:-1]]
     first = np.array([a + z[a:b].argmax(axis=0) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())])
-    value = z[first, np.arange(len(bias))]
+    value = z[first, np.arange(len(bias))] + bias
     up = (value >= best[own]) & (value > 0)
     best[own], at[own] = np.where(up, value, best[own]), np.where(up, first, -1)
     return best, at
