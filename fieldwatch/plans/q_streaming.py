@@ -1,7 +1,5 @@
 """Queries: streams, run to the end of the given data and compared with the batch rules."""
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,21 +32,23 @@ def in_order(df):
     """As `arriving`, one time window after the other, each station of a window in one file, so
     that no micro-batch holds an earlier row of a station.
 
-    A micro-batch takes as many files as divide every window's: the whole window where each
-    core wrote its file, so the number of micro-batches does not grow with the rows.  The
-    rows are stored first, as they are read once for each window.
+    A micro-batch is a whole window that has rows, and takes a fixed number of files.  Each core
+    writes one file for each window: besides its stations' rows, if any, it holds a row that the
+    stream leaves out.  So the number of micro-batches grows neither with the rows nor with the
+    cores.  The rows are stored first, as they are read once for each window.
     """
     spark, df = df.sparkSession, cut(df, "in-order")
     path, parts = work_path(spark, "arriving"), spark.sparkContext.defaultParallelism
-    cuts = ("2024-01-09", "2024-01-17", "2024-01-25")
-    stamp, low, files = F.col("timestamp"), None, [0]
-    for high in (*cuts, None):
-        part = df if low is None else df.where(stamp >= low)
-        part = part if high is None else part.where(stamp < high)
-        part.repartition(parts, "station_id").write.mode("append").parquet(path)
-        files.append(len(spark.read.schema(df.schema).parquet(path).inputFiles()))
-        low = high
-    return jobs.stream_obs(spark, path, df.schema, math.gcd(*[b - a for a, b in zip(files, files[1:])]) or 1)
+    begun = [F.col("timestamp") >= day for day in ("2024-01-09", "2024-01-17", "2024-01-25")]
+    windows = [~begun[0], begun[0] & ~begun[1], begun[1] & ~begun[2], begun[2]]
+    rows = df.agg(*[F.count_if(w) for w in windows]).first()
+    windows = [w for w, n in zip(windows, rows) if n] or windows[:1]
+    blank = spark.range(parts).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema], F.lit(False).alias("_row"), F.col("id").cast("int").alias("_file"))
+    dealt = df.withColumns({"_row": F.lit(True), "_file": F.pmod(F.hash("station_id"), F.lit(parts))})
+    for window in windows:
+        files = dealt.where(window).union(blank).repartitionById(parts, "_file").drop("_file")
+        files.write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    return jobs.stream_obs(spark, path, files.schema, parts).where("_row").drop("_row")
 
 
 @cat.query(sql(SPARSE, body='SELECT station_id, "timestamp", temperature, pressure, humidity FROM sparse'))

@@ -209,3 +209,31 @@ def test_micro_batches_do_not_grow_with_files(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert [r[2] for r in seen] == [320, 320, 320, 240]
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def batches_of(spark, rows):
+    """Rows, stations, first and last time of each micro-batch."""
+    from fieldwatch.plans.q_streaming import in_order
+
+    seen = []
+    what = [F.count("*"), F.count_distinct("station_id"), F.min("timestamp"), F.max("timestamp")]
+    stream = in_order(rows)
+    assert stream.columns == rows.columns
+    job = stream.writeStream.foreachBatch(lambda batch, _: seen.append(tuple(batch.agg(*what).first())))
+    job.option("checkpointLocation", work_path(spark, "batches")).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def test_a_micro_batch_is_a_time_window_with_rows(spark):
+    """Also where a window has no rows, as before a pre-warmed stream, or stations of its own."""
+    stamps = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30', interval 1 day)) AS timestamp")
+    rows = spark.range(40).select(F.concat(F.lit("S"), F.col("id").cast("string")).alias("station_id")).crossJoin(stamps)
+    late = batches_of(spark, rows.where("timestamp >= '2024-01-15'"))
+    assert [b[:2] for b in late] == [(80, 40), (320, 40), (240, 40)]
+    assert all(a[3] < b[2] for a, b in zip(late, late[1:]))
+    few = rows.where("station_id = 'S1' or timestamp >= '2024-01-17' or (station_id < 'S12' and timestamp >= '2024-01-09')")
+    assert [b[:2] for b in batches_of(spark, few)] == [(8, 1), (32, 4), (320, 40), (240, 40)]
+    assert [b[0] for b in batches_of(spark, rows.where("timestamp < '2024-01-05' or timestamp >= '2024-01-28'"))] == [160, 120]
+    assert [b[0] for b in batches_of(spark, rows.where("false"))] in ([], [0])
+    unnamed = rows.withColumn("station_id", F.when(F.col("station_id") != "S3", F.col("station_id")))
+    assert [b[:2] for b in batches_of(spark, unnamed)] == [(320, 39), (320, 39), (320, 39), (240, 39)]
